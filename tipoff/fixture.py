@@ -107,3 +107,172 @@ def team_games_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return rows.unionByName(corrected)
+
+
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The silver games table: one row per (game, team), newest ingest."""
+    from tipoff.operators.games import clean_silver
+
+    return staged(spark, sf_dir, "silver", lambda: clean_silver(team_games_raw(spark, sf_dir)))
+
+
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tipoff.operators.games import canonicalize_games
+
+    return canonicalize_games(silver(spark, sf_dir), unique=True)
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold history table, for the jobs that read gold."""
+    from tipoff.plans.history import build_history
+
+    return staged(spark, sf_dir, "history", lambda: build_history(silver(spark, sf_dir), unique=True))
+
+
+def scored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History with a stand-in probability that is a fixed function of recent form, with many ties."""
+    p = F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.lit(0.05) + F.lit(0.9) * F.col("ROLL_WIN_PCT_10")))
+    return history(spark, sf_dir).withColumn("p", F.round(F.coalesce(p, F.lit(0.5)), 6))
+
+
+def play_by_play(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as play-by-play: a user is a game, 30 days scale to 48 minutes, purchases and clicks score."""
+    from tipoff.operators.ordered import Before, with_history
+
+    elapsed = F.floor(
+        (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp")))
+        / 900000000
+    ).cast("int")
+    left = 720 - F.col("el") % 720
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("GAME_ID"),
+        F.col("event_id").cast("int").alias("actionNumber"),
+        elapsed.alias("el"),
+        F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("home_point"),
+        F.when(F.col("event_type") == "click", 1).otherwise(0).alias("away_point"),
+    )
+    scored = with_history(
+        events, ["GAME_ID"], ["actionNumber"],
+        [Before("home_before", "home_point", "sum"), Before("away_before", "away_point", "sum")],
+    )
+    total = lambda side: (F.coalesce(f"{side}_before", F.lit(0)) + F.col(f"{side}_point")).cast("int")
+    return scored.select(
+        "GAME_ID", "actionNumber",
+        F.concat(two(F.floor(left / 60)), F.lit(":"), two(left % 60)).alias("clock"),
+        (1 + F.floor(F.col("el") / 720)).cast("int").alias("period"),
+        total("home").alias("scoreHome"),
+        total("away").alias("scoreAway"),
+    )
+
+
+def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is a player, the order year a season; several teams in a season add a sum row."""
+    from tipoff import schema
+
+    codes = F.array(*[F.lit(c) for c in schema.TEAM_CODES])
+    per_team = (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(
+            F.year("o_orderdate").alias("season"),
+            F.col("o_custkey").cast("string").alias("player_id"),
+            F.get(codes, (F.col("o_orderkey") % len(schema.TEAM_CODES)).cast("int")).alias("team"),
+        )
+        .agg(F.count(F.lit(1)).alias("g"))
+    )
+    sums = (
+        per_team.groupBy("season", "player_id")
+        .agg(F.count(F.lit(1)).alias("teams"), F.sum("g").alias("g"))
+        .where("teams >= 2")
+        .select("season", "player_id", F.concat(F.least(F.lit(4), "teams").cast("string"), F.lit("TM")).alias("team"), "g")
+    )
+    return per_team.unionByName(sums)
+
+
+def team_seasons_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Team season rows as text, one per supplier, with some values that are not numbers."""
+    from tipoff import schema
+
+    columns = []
+    for i, (name, kind) in enumerate(schema.TEAM_SEASON_TYPES.items()):
+        bad = (F.col("s_suppkey") + i) % 11 == 0
+        whole = (F.col("s_suppkey") * (i + 1)) % 83
+        value = {
+            "int": whole.cast("string"),
+            "double": F.concat(whole.cast("string"), F.lit(".25")),
+            "boolean": F.when(whole % 2 == 0, "true").otherwise("false"),
+            "string": F.concat(F.lit(f"{name}-"), whole.cast("string")),
+        }[kind]
+        columns.append(F.when(bad, "n/a").otherwise(value).alias(name))
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", (2015 + F.col("s_suppkey") % 10).cast("int").alias("season"), *columns
+    )
+
+
+def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is a model run. Metric keys come in mixed spellings; one metric is missing on small parts."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    metrics = F.map_from_arrays(
+        F.array(F.lit("Accuracy"), F.lit(" Log-Loss"), F.lit("roc  AUC")),
+        F.array(size / 50.0, F.round(0.3 + (key % 97) / 100.0, 4), F.round(0.5 + size / 200.0, 4)),
+    )
+    partial = F.map_filter(metrics, lambda k, v: ~k.startswith("roc"))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("run-"), F.lpad(key.cast("string"), 9, "0")).alias("run_id"),
+        F.col("p_name").alias("run_name"),
+        F.timestamp_seconds(1704067200 + key * 60).alias("start_time"),
+        F.create_map(F.lit("triggered_by"), F.col("p_type")).alias("params"),
+        F.when(size <= 3, partial).otherwise(metrics).alias("metrics"),
+        F.create_map(F.lit("promoted"), F.when(size > 25, "true").otherwise("false")).alias("tags"),
+    )
+
+
+def tuning_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is a trial; its two objectives are arithmetic on the key."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("trial"),
+        F.round(0.4 + (key * 7919 % 1009) / 1009.0, 4).alias("log_loss"),
+        F.round(0.5 + (key * 104729 % 1013) / 2026.0, 4).alias("roc_auc"),
+    )
+
+
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every past game row as a rematch a week later, with same-team and unknown-team entries."""
+    month = F.month("GAME_DATE")
+    return history(spark, sf_dir).select(
+        F.concat_ws("-", "GAME_ID", "TEAM_ID").alias("game_id"),
+        F.date_add("GAME_DATE", 7).alias("game_date"),
+        F.col("TEAM_ID").alias("home_team_id"),
+        F.when(month == 12, F.col("TEAM_ID")).when(month == 11, "99").otherwise(F.col("OPP_TEAM_ID")).alias("away_team_id"),
+    )
+
+
+def scoreboard(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(games, teams, predictions) for the board, with codes that do not match, short codes and missing times."""
+    month = F.month("GAME_DATE")
+    home = history(spark, sf_dir).where("HOME = 1")
+    code = F.concat(F.date_format("GAME_DATE", "yyyyMMdd"), F.lit("/"), F.col("OPP_TEAM_ABBREVIATION"), F.col("TEAM_ABBREVIATION"))
+    games = home.select(
+        F.col("GAME_ID").alias("gameId"),
+        F.when(month == 1, F.lower(code)).when(month == 2, "N/A").otherwise(code).alias("gameCode"),
+        F.when(month != 3, F.timestamp_seconds(F.unix_date("GAME_DATE") * F.lit(86400).cast("long") + 72000)).alias("gameTimeUTC"),
+        F.when(month != 4, "Final").alias("gameStatusText"),
+    )
+    teams = canonical(spark, sf_dir).select(
+        F.col("GAME_ID").alias("gameId"),
+        F.col("HOME").alias("position"),
+        F.col("TEAM_ID").alias("teamId"),
+        F.col("TEAM_ABBREVIATION").alias("teamTricode"),
+        F.col("TEAM_NAME").alias("teamCity"),
+        F.concat(F.lit("Club "), F.col("TEAM_ID")).alias("teamName"),
+        F.when(F.col("TOV") != 0, F.col("PTS")).alias("score"),
+    )
+    predictions = home.where(month != 5).select(
+        F.col("GAME_ID").alias("gameId"),
+        F.when(F.col("TEAM_SEASON_WIN_PCT") >= 0.5, F.col("TEAM_ABBREVIATION"))
+        .otherwise(F.col("OPP_TEAM_ABBREVIATION"))
+        .alias("predicted_winner"),
+    )
+    return games, teams, predictions

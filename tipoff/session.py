@@ -30,6 +30,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config(map={**SETTINGS})
         .appName("tipoff-local")
         .getOrCreate()

@@ -50,9 +50,13 @@ def read_delimited(
     )
 
 
-def land_bronze(df: DataFrame, root: str, ingest_date: str) -> None:
-    """Write one ingest day as CSV; landing the same day again replaces it."""
-    df.withColumn("ingest_date", F.lit(ingest_date)).write.mode("overwrite").option(
+def land_bronze(df: DataFrame, root: str, ingest_date: str | None = None) -> None:
+    """Write rows as CSV by ingest day; landing the same day again replaces it.
+
+    The day is ``ingest_date``, or the column of that name for a load of many days.
+    """
+    dated = df if ingest_date is None else df.withColumn("ingest_date", F.lit(ingest_date))
+    _by_partition(dated, "ingest_date").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).option("header", True).partitionBy("ingest_date").csv(root)
 
