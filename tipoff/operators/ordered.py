@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tipoff.scratch import stage
 
-MAX_GROUP_ROWS = 2_000_000
-CHUNK_ROWS = 500_000
+MAX_GROUP_ROWS = 5_000_000
+CHUNK_ROWS = 2_000_000
+MAX_CHUNKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ def with_history(
         raise ValueError(f"unknown strategy {strategy}")
     if total is None:
         total = df.count()
-    return _chunked(df, keys, order, specs, max(2, -(-total // chunk_rows)))
+    return _chunked(df, keys, order, specs, min(MAX_CHUNKS, max(2, -(-total // chunk_rows))))
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, **options) -> DataFrame:
