@@ -85,10 +85,14 @@ def rows_for_ingest(df: DataFrame, day: str) -> DataFrame:
     return df
 
 
-def tag_ingest(df: DataFrame, season: str, season_type: str, ingestion_date: str) -> DataFrame:
-    return df.withColumns(
-        {"SEASON": F.lit(season), "season_type": F.lit(season_type), "ingestion_date": F.lit(ingestion_date)}
-    )
+def tag_ingest(
+    df: DataFrame, season: str, season_type: str, ingestion_date: str, per_mode: str | None = None
+) -> DataFrame:
+    """Constant metadata columns. ``per_mode`` says how player rows count: per game or in total."""
+    tags = {"SEASON": season, "season_type": season_type, "ingestion_date": ingestion_date}
+    if per_mode is not None:
+        tags["per_mode"] = per_mode
+    return df.withColumns({name: F.lit(value) for name, value in tags.items()})
 
 
 def stack(*frames: DataFrame) -> DataFrame:

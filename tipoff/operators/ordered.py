@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tipoff.scratch import stage
 
-MAX_GROUP_ROWS = 5_000_000
-CHUNK_ROWS = 2_000_000
+MAX_GROUP_ROWS = 2_000_000
+CHUNK_ROWS = 1_000_000
 MAX_CHUNKS = 20_000
 
 

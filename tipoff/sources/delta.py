@@ -1,0 +1,75 @@
+"""The same store over Delta tables, where the ``delta`` package and its jar are installed.
+
+Delta brings what the Parquet store has to build from staged writes: an atomic MERGE that also moves
+rows between partitions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tipoff import schema
+from tipoff.operators.games import keep_newest
+from tipoff.sources.tables import TableStore
+
+try:
+    from delta.tables import DeltaTable
+except ImportError:
+    DeltaTable = None
+
+
+class DeltaStore(TableStore):
+    def __init__(self, spark: SparkSession, root: str):
+        if DeltaTable is None:
+            raise RuntimeError("the delta package is not installed; use TableStore")
+        super().__init__(spark, root)
+
+    def exists(self, name: str) -> bool:
+        return DeltaTable.isDeltaTable(self.spark, self.path(name))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.format("delta").load(self.path(name))
+
+    def write_partitioned(self, df: DataFrame, name: str, by: str = "SEASON", rebalance: bool = False) -> None:
+        rows = df.hint("rebalance", by) if rebalance else df
+        rows.write.format("delta").mode("overwrite").partitionBy(by).save(self.path(name))
+
+    def write_full(self, df: DataFrame, name: str) -> None:
+        df.write.format("delta").mode("overwrite").save(self.path(name))
+
+    def append_by_ingestion(self, df: DataFrame, name: str, by: str = "ingestion_date") -> None:
+        df.write.format("delta").mode("append").partitionBy(by).save(self.path(name))
+
+    def overwrite_partitions(self, df: DataFrame, name: str, by: str = "SEASON") -> None:
+        df.hint("rebalance", by).write.format("delta").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(by).save(self.path(name))
+
+    def register(self, name: str, table: str | None = None, partitioned: bool = True) -> str:
+        table = table or name
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} USING delta LOCATION '{self.path(name)}'")
+        return table
+
+    def merge_upsert(
+        self,
+        source: DataFrame,
+        name: str,
+        keys: Sequence[str] = tuple(schema.GAME_KEY),
+        by: str = "SEASON",
+        newest: Sequence[str] = (),
+    ) -> None:
+        self.require(name)
+        table = DeltaTable.forPath(self.spark, self.path(name))
+        columns = table.toDF().columns
+        incoming = keep_newest(source, keys, newest).select(*columns)
+        matched = F.expr(" AND ".join(f"target.{k} = source.{k}" for k in keys))
+        (
+            table.alias("target")
+            .merge(incoming.alias("source"), matched)
+            .whenMatchedUpdateAll()
+            .whenNotMatchedInsertAll()
+            .execute()
+        )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipoff import schema
-from tipoff.functions.exprs import file_date
+from tipoff.functions.exprs import file_date, season_label, season_range
 from tipoff.operators.games import keep_newest
 from tipoff.scratch import stage
 
@@ -61,6 +61,21 @@ def land_bronze(df: DataFrame, root: str, ingest_date: str | None = None) -> Non
     ).option("header", True).partitionBy("ingest_date").csv(root)
 
 
+def backfill(rows: DataFrame, root: str, first: int, last: int) -> list[str]:
+    """Write the games of the seasons that start in ``first`` to ``last`` as one CSV folder per season.
+
+    One job for all seasons and season types; the season comes from the game date. Returns the folders.
+    """
+    labelled = rows.withColumn("season_file", season_label(F.col("GAME_DATE"))).where(
+        F.array_contains(season_range(first, last), F.col("season_file"))
+    )
+    _by_partition(labelled, "season_file").write.mode("overwrite").option("header", True).option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy("season_file").csv(root)
+    written = labelled.select("season_file").distinct().collect()
+    return [f"{root}/season_file={row[0]}" for row in written]
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -100,11 +115,14 @@ class TableStore:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def write_partitioned(self, df: DataFrame, name: str, by: str = "SEASON", mode: str = "overwrite") -> None:
-        """Replace the whole table (static overwrite), or append."""
-        _by_partition(df, by).write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(by).parquet(
-            self.path(name)
-        )
+    def write_partitioned(self, df: DataFrame, name: str, by: str = "SEASON", rebalance: bool = False) -> None:
+        """Replace the whole table.
+
+        ``rebalance`` shuffles rows to their partitions first, so that each gets few, even files. Leave it
+        off where ``df`` already comes out of a shuffle by the partition column.
+        """
+        rows = _by_partition(df, by) if rebalance else df
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(by).parquet(self.path(name))
 
     def write_full(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path(name))
@@ -159,8 +177,7 @@ class TableStore:
         # partition values are few and bound the rewrite; as literals they prune directories at the scan
         values = [row[by] for row in touched.collect()]
         kept = target.where(_in(by, values)).join(incoming, list(keys), "left_anti")
-        merged = stage(kept.select(*target.columns).unionByName(incoming), f"{name}-merged", by)
-        merged = merged.select(*target.columns)
+        merged = stage(kept.select(*target.columns).unionByName(incoming), f"{name}-merged")
         self.overwrite_partitions(merged, name, by)
         left = {row[by] for row in merged.select(by).distinct().collect()}
         for value in values:

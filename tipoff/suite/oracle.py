@@ -397,7 +397,7 @@ SQL["offline_features"] = sql(
     f"{imputed(schema.IMPUTED_FEATURES)} FROM history h LEFT JOIN ids i ON i.GAME_ID = h.GAME_ID"
 )
 SQL["training_order"] = sql(
-    f"SELECT GAME_DATE, {K}, WIN FROM history ORDER BY GAME_DATE, GAME_ID, TEAM_ID LIMIT 500"
+    f"SELECT GAME_DATE, {K}, WIN FROM history ORDER BY GAME_DATE, GAME_ID, TEAM_ID"
 )
 SQL["build_matrix_columns"] = sql(f"SELECT {K}, {FEATURES}, WIN FROM history")
 

@@ -180,7 +180,7 @@ def offline_features(spark, sf):
 @query
 def training_order(spark, sf):
     rows = games.stack(fx.history(spark, sf).select("GAME_DATE", *KEY, "WIN"))
-    return offline.training_order(rows).limit(500)
+    return offline.training_order(rows)
 
 
 @query
@@ -215,11 +215,9 @@ def bronze_one_day(spark, sf):
 
 @query
 def season_files(spark, sf):
-    root = fresh_path(spark, "seasons")
-    rows = bronze_rows(spark, sf)
-    rows.withColumn("part", F.col("SEASON")).write.partitionBy("part").option("header", True).csv(root)
-    labels = [r[0] for r in rows.select("SEASON").distinct().collect()]
-    back = tables.read_season_files(spark, [f"{root}/part={s}" for s in labels], schema.BRONZE_GAMES)
+    """All seasons written by one backfill job, then read as a list of season files."""
+    folders = tables.backfill(bronze_rows(spark, sf), fresh_path(spark, "seasons"), 1990, 2010)
+    back = tables.read_season_files(spark, folders, schema.BRONZE_GAMES)
     return back.groupBy("SEASON").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("PTS"), 4).alias("avg_pts"))
 
 
