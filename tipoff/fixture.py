@@ -171,7 +171,7 @@ def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tipoff import schema
 
     codes = F.array(*[F.lit(c) for c in schema.TEAM_CODES])
-    per_team = (
+    per_team = lambda: (
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(
@@ -181,13 +181,14 @@ def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg(F.count(F.lit(1)).alias("g"))
     )
+    rows = staged(spark, sf_dir, "player_teams", per_team)
     sums = (
-        per_team.groupBy("season", "player_id")
+        rows.groupBy("season", "player_id")
         .agg(F.count(F.lit(1)).alias("teams"), F.sum("g").alias("g"))
         .where("teams >= 2")
         .select("season", "player_id", F.concat(F.least(F.lit(4), "teams").cast("string"), F.lit("TM")).alias("team"), "g")
     )
-    return per_team.unionByName(sums)
+    return rows.unionByName(sums)
 
 
 def team_seasons_text(spark: SparkSession, sf_dir: str) -> DataFrame:

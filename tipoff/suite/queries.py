@@ -490,6 +490,12 @@ def split_rows(spark, sf):
     return games.stack(*[df.withColumn("split", F.lit(name)) for name, df in parts.items()])
 
 
+@query
+def train_rows(spark, sf):
+    rows = fx.history(spark, sf).select("GAME_DATE", *KEY)
+    return splits.rows_in_split(rows, splits.chronological_assignment(rows), "train")
+
+
 # ---- metrics -------------------------------------------------------------------------------
 @query
 def accuracy_logloss_auc(spark, sf):
