@@ -60,11 +60,12 @@ class DeltaStore(TableStore):
         keys: Sequence[str] = tuple(schema.GAME_KEY),
         by: str = "SEASON",
         newest: Sequence[str] = (),
+        unique: bool = False,
     ) -> None:
         self.require(name)
         table = DeltaTable.forPath(self.spark, self.path(name))
         columns = table.toDF().columns
-        incoming = keep_newest(source, keys, newest).select(*columns)
+        incoming = (source if unique else keep_newest(source, keys, newest)).select(*columns)
         matched = F.expr(" AND ".join(f"target.{k} = source.{k}" for k in keys))
         (
             table.alias("target")

@@ -154,16 +154,20 @@ class TableStore:
         keys: Sequence[str] = tuple(schema.GAME_KEY),
         by: str = "SEASON",
         newest: Sequence[str] = (),
+        unique: bool = False,
     ) -> None:
         """Matched rows are replaced, new rows inserted; keys match across partitions.
 
+        Of several source rows with one key the newest wins; ``unique`` says there are none and saves
+        that shuffle.
+
         Only partitions the source touches, or that hold an old version of one of its keys, are
         rewritten. The new content is staged first: a path is never overwritten while it is read. A
         partition that loses its last row is removed. One writer at a time; partitions are replaced one
         after the other, and rerunning the same merge after a failure gives the intended table.
         """
         self.require(name)
-        incoming = stage(keep_newest(source, keys, newest), f"{name}-merge-source")
+        incoming = stage(source if unique else keep_newest(source, keys, newest), f"{name}-merge-source")
         target = self.read(name)
         if incoming.isEmpty():
             return
