@@ -147,7 +147,7 @@ def play_by_play(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("GAME_ID"),
-        F.col("event_id").cast("int").alias("actionNumber"),
+        F.col("event_id").alias("actionNumber"),
         elapsed.alias("el"),
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("home_point"),
         F.when(F.col("event_type") == "click", 1).otherwise(0).alias("away_point"),
@@ -156,7 +156,7 @@ def play_by_play(spark: SparkSession, sf_dir: str) -> DataFrame:
         events, ["GAME_ID"], ["actionNumber"],
         [Before("home_before", "home_point", "sum"), Before("away_before", "away_point", "sum")],
     )
-    total = lambda side: (F.coalesce(f"{side}_before", F.lit(0)) + F.col(f"{side}_point")).cast("int")
+    total = lambda side: (F.coalesce(f"{side}_before", F.lit(0)) + F.col(f"{side}_point")).cast("long")
     return scored.select(
         "GAME_ID", "actionNumber",
         F.concat(two(F.floor(left / 60)), F.lit(":"), two(left % 60)).alias("clock"),

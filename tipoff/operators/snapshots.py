@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tipoff import schema
 from tipoff.functions.exprs import clock_seconds
 
-SNAPSHOT_FIELDS = "ACTION_NUMBER int, PERIOD int, TIME_REMAINING int, scoreHome int, scoreAway int"
+SNAPSHOT_FIELDS = "ACTION_NUMBER bigint, PERIOD int, TIME_REMAINING int, scoreHome bigint, scoreAway bigint"
 
 
 def timed_columns(iso: bool = False) -> list[Column]:
@@ -16,11 +16,11 @@ def timed_columns(iso: bool = False) -> list[Column]:
     period = F.col("period").try_cast("int")
     return [
         F.col("GAME_ID"),
-        F.col("actionNumber").try_cast("int").alias("ACTION_NUMBER"),
+        F.col("actionNumber").try_cast("long").alias("ACTION_NUMBER"),
         period.alias("PERIOD"),
         clock_seconds(F.col("clock"), period, iso=iso).alias("TIME_REMAINING"),
-        F.coalesce(F.col("scoreHome").try_cast("int"), F.lit(0)).alias("scoreHome"),
-        F.coalesce(F.col("scoreAway").try_cast("int"), F.lit(0)).alias("scoreAway"),
+        F.coalesce(F.col("scoreHome").try_cast("long"), F.lit(0)).cast("long").alias("scoreHome"),
+        F.coalesce(F.col("scoreAway").try_cast("long"), F.lit(0)).cast("long").alias("scoreAway"),
     ]
 
 

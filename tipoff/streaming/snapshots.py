@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tipoff.operators.snapshots import timed_columns
 
 OUTPUT = (
-    "GAME_ID string, ACTION_NUMBER int, PERIOD int, TIME_REMAINING int, CURRENT_SCORE_DIFF int, "
+    "GAME_ID string, ACTION_NUMBER bigint, PERIOD int, TIME_REMAINING int, CURRENT_SCORE_DIFF bigint, "
     "CURRENT_FG_DIFF int, HOME int, FINAL_WIN_HOME int"
 )
 

@@ -157,10 +157,10 @@ CTES: dict[str, str] = {
               WHEN game_rank <= GREATEST(GREATEST(1, FLOOR(n * 0.7::DOUBLE)) + 1, FLOOR(n * 0.85::DOUBLE)) THEN 'validation' ELSE 'test' END AS split
   FROM date_ranked""",
     "pbp": """
-  SELECT CAST(user_id AS VARCHAR) AS GAME_ID, CAST(event_id AS INTEGER) AS "actionNumber", el,
+  SELECT CAST(user_id AS VARCHAR) AS GAME_ID, CAST(event_id AS BIGINT) AS "actionNumber", el,
          CAST(1 + el // 720 AS INTEGER) AS period, CAST(720 - el % 720 AS INTEGER) AS lft,
-         CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS INTEGER) AS "scoreHome",
-         CAST(SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER w AS INTEGER) AS "scoreAway"
+         CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS "scoreHome",
+         CAST(SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS "scoreAway"
   FROM (SELECT *, CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 900000000 AS INTEGER) AS el FROM events)
   WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "timed": """
@@ -176,7 +176,7 @@ CTES: dict[str, str] = {
   GROUP BY k.GAME_ID, k.pos""",
     "snaps": """
   SELECT e.GAME_ID, e."actionNumber" AS ACTION_NUMBER, e.period AS PERIOD, CAST(e.t AS INTEGER) AS TIME_REMAINING,
-         CAST(e."scoreHome" - e."scoreAway" AS INTEGER) AS CURRENT_SCORE_DIFF, CAST(0 AS INTEGER) AS CURRENT_FG_DIFF, CAST(1 AS INTEGER) AS HOME,
+         CAST(e."scoreHome" - e."scoreAway" AS BIGINT) AS CURRENT_SCORE_DIFF, CAST(0 AS INTEGER) AS CURRENT_FG_DIFF, CAST(1 AS INTEGER) AS HOME,
          CAST(CASE WHEN f."scoreHome" > f."scoreAway" THEN 1 ELSE 0 END AS INTEGER) AS FINAL_WIN_HOME,
          e.pos = e.n AS is_final
   FROM timed e JOIN timed f ON f.GAME_ID = e.GAME_ID AND f.pos = f.n
