@@ -28,6 +28,7 @@ def test_season_range(spark):
         ("12:00", 1, False, 2880), ("00:30", 4, False, 30), ("05:00", 5, False, 300), ("0530", 1, False, 0),
         ("05:30.5", 1, False, 0), (None, 1, False, 0), ("1:2:3", 1, False, 0), ("PT05M30.20S", 4, False, 0),
         ("PT05M30.20S", 4, True, 330), ("04:10", 4, True, 250),
+        ("99999999999:00", 1, False, 0), ("99999999999999999999:00", 1, False, 0),
     ],
 )
 def test_clock_seconds(spark, clock, period, iso, seconds):

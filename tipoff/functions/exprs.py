@@ -71,17 +71,17 @@ def clock_seconds(clock: Column, period: Column, iso: bool = False) -> Column:
     parts = F.split(clock, ":")
     minutes, seconds = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     valid = (F.size(parts) == 2) & minutes.rlike(whole) & seconds.rlike(whole)
-    in_period = minutes.try_cast("int") * 60 + seconds.try_cast("int")
+    in_period = F.try_add(F.try_multiply(minutes.try_cast("long"), F.lit(60)), seconds.try_cast("long"))
     rest = F.greatest(F.lit(0), F.lit(4) - period) * 720
-    result = F.when(valid, in_period + rest)
+    result = F.when(valid, F.try_add(in_period, rest))
     if iso:
         pattern = r"^PT(\d+)M(\d+)(?:\.\d+)?S$"
-        iso_seconds = (
-            F.regexp_extract(clock, pattern, 1).try_cast("int") * 60
-            + F.regexp_extract(clock, pattern, 2).try_cast("int")
+        iso_seconds = F.try_add(
+            F.try_multiply(F.regexp_extract(clock, pattern, 1).try_cast("long"), F.lit(60)),
+            F.regexp_extract(clock, pattern, 2).try_cast("long"),
         )
-        result = result.when(clock.rlike(pattern), iso_seconds + rest)
-    return F.coalesce(result, F.lit(0)).cast("int")
+        result = result.when(clock.rlike(pattern), F.try_add(iso_seconds, rest))
+    return F.coalesce(result.try_cast("int"), F.lit(0))
 
 
 def parse_matchup(game_code: Column) -> Column:
