@@ -27,6 +27,19 @@ def bucket_of(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def hash_share(rows: DataFrame, group: str, counts: dict, wanted: int) -> DataFrame:
+    """Rows whose hash of doc_id is among the lowest, so many that ``wanted`` of each group are left with room to spare.
+
+    A ranking by that hash then gets a bounded number of rows, however many there are; a group whose rows share few
+    doc_ids may be left with less than ``wanted``.
+    """
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = F.lit(1 << 30)
+    for value, count in counts.items():
+        share = F.when(F.col(group) == value, int(min(1.0, (2 * wanted + 200) / max(count, 1)) * (1 << 30))).otherwise(share)
+    return rows.where(low < share)
+
+
 def texts(array: pa.Array) -> list[str]:
     """The strings of an Arrow column, nulls as empty."""
     return ["" if x is None else x for x in array.to_pylist()]

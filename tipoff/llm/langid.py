@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import bucket_of, texts
+from tipoff.llm.common import bucket_of, hash_share, texts
 
 DIMENSIONS = 1024
 SEED = 20240
 # rows a language that prototypes are made from
 ROWS_PER_LANGUAGE = 500
+# ids of chosen rows are broadcast up to here
+BROADCAST_ROWS = 1_000_000
 GROUP_CHARS = 1 << 18
 UNKNOWN = "und"
 
@@ -125,9 +127,13 @@ def fit(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dic
     executors: one row a language and task.
     """
     known = documents.where("text is not null and lang is not null and doc_id is not null").where(bucket_of("doc_id", 4) != 2)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= rows_per_language)
-    rows = known.select("doc_id", "lang", "text").join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"]).select("text", "lang")
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    counts = dict(known.groupBy("lang").count().collect())
+    chosen = hash_share(known.select("doc_id", "lang"), "lang", counts, rows_per_language).withColumn("rn", F.row_number().over(order))
+    chosen = chosen.where(F.col("rn") <= rows_per_language).select("doc_id", "lang").distinct()
+    if len(counts) * rows_per_language <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    rows = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("text", "lang")
     parts = rows.mapInArrow(_sum_profiles, "lang string, profile array<double>").collect()
     sums: dict[str, np.ndarray] = {}
     for part in sorted(parts, key=lambda r: (r.lang, r.profile)):

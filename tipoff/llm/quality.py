@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import bucket_of, texts
+from tipoff.llm.common import bucket_of, hash_share, texts
 
 PIECE = 2048
 DICTIONARY_BYTES = 64 << 10
@@ -84,11 +84,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
         .where("quality = other")
     )
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy("quality").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
     counts = dict(known.groupBy("quality").count().collect())
-    chosen = known.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= rows_per_class).select("doc_id", "quality", "rn")
+    chosen = hash_share(known, "quality", counts, rows_per_class).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= rows_per_class)
     rows = (
-        documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
+        # at most two classes of rows_per_class ids: small enough to broadcast at any size of the corpus
+        documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen.select("doc_id", "quality", "rn")), "doc_id")
         .groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("rn").alias("rn"), F.min("text").alias("text"))
         .collect()
     )
