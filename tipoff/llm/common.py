@@ -57,7 +57,7 @@ def packed(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[first:last], offsets - first
 
 
-def row_batches(batches, max_bytes: int = 2 << 20, text: int = 1):
+def row_batches(batches, max_bytes: int = 1 << 20, text: int = 1):
     """Cut Arrow batches so that column ``text`` holds about ``max_bytes`` in each; a longer row goes alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -36,7 +36,7 @@ GRAM = 32
 PLACES = LENGTH - GRAM + 1
 # offsets of an anchor that one stretch may span; its core has LENGTH - HALF + 1 bytes
 HALF = 185
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 WIDE = 20_000
 # larger alphabets of a reduced text are ranked by doubling
 LARGEST_ALPHABET = 4096
@@ -77,7 +77,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) -
     counts = np.bincount(text, minlength=size)
     ends = np.cumsum(counts)
     heads = ends - counts
-    array = np.full(n, -1, np.int64)
+    array = np.full(n, -1, np.int32)
     symbols = text[lms]
     by_symbol = np.argsort(symbols.astype(np.uint16), kind="stable")
     lms_of = np.searchsorted(symbols[by_symbol], np.arange(size + 1))
@@ -136,7 +136,7 @@ def _by_doubling(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, spans: SpanHash | None = None) -> np.ndarray:
     """Suffix array by induced sorting; ``text`` holds small non-negative numbers and ends in its unique smallest."""
     n = len(text)
     if n <= 2:
@@ -153,7 +153,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     # an LMS substring reaches to the next LMS place; equal ones get one name
     stop = np.full(n, n, np.int64)
     stop[lms[:-1]] = lms[1:] + 1
-    code = SpanHash(text)(in_order, stop[in_order])
+    code = (spans or SpanHash(text))(in_order, stop[in_order])
     name = np.empty(n, np.int64)
     name[in_order] = np.cumsum(np.r_[0, code[1:] != code[:-1]])
     reduced = name[lms]
@@ -164,31 +164,34 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _induce(text, smaller, in_order, size)
 
 
-def common_prefixes(text: np.ndarray, array: np.ndarray, most: int = 1 << 40) -> np.ndarray:
-    """For each place, how much its suffix shares with the one before it in the array, in text order; ``most`` at most.
+def common_prefixes(text: np.ndarray, array: np.ndarray, spans: SpanHash, least: int = 1) -> np.ndarray:
+    """For each place, how much its suffix shares with the one before it in the array, in text order.
 
     Where both suffixes follow the same symbol, the prefix is that of the place before less the symbol. Elsewhere it
-    is measured, and once in 256 places besides, so that prefixes need not be measured beyond ``most`` + 256.
+    is measured, and once in 256 places besides. Prefixes under ``least`` may come out shorter (0 at worst) and those beyond
+    may be cut, to ``least`` at the lowest: what reaches ``least`` and what does not is exact.
     """
     n = len(text)
-    previous = np.full(n, -1, np.int64)
+    previous = np.full(n, -1, np.int32)
     previous[array[1:]] = array[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     with_one = previous >= 0
     follows = with_one & (place % 256 != 0) & (previous > 0) & (text[place - 1] == text[previous - 1])
-    measured = np.flatnonzero(with_one & ~follows)
+    measured = np.flatnonzero(with_one & ~follows & (np.maximum(place, previous) + least <= n))
     other = previous[measured]
-    spans, length = SpanHash(text), np.zeros(len(measured), np.int64)
+    same = spans(measured, measured + least) == spans(other, other + least)
+    measured, other = measured[same], other[same]
+    length = np.full(len(measured), least)
     room = n - np.maximum(measured, other)
-    step = 1 << (min(most + 256, n).bit_length() - 1)
+    step = 128
     while step:
         at = np.flatnonzero(length + step <= room)
         a, b = measured[at] + length[at], other[at] + length[at]
         length[at[spans(a, a + step) == spans(b, b + step)]] += step
         step //= 2
-    reach = np.zeros(n, np.int64)
+    reach = np.zeros(n, np.int32)
     reach[measured] = length + measured
-    return np.where(with_one, np.clip(np.maximum.accumulate(reach) - place, 0, most), 0)
+    return np.where(with_one, np.maximum(np.maximum.accumulate(reach) - place, 0), 0)
 
 
 def repeated_starts(pieces: list[bytes], weights: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -205,8 +208,9 @@ def repeated_starts(pieces: list[bytes], weights: np.ndarray, length: int = LENG
     body[-1] = False
     text[body] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32) + 2
     text[firsts + sizes] = 1
-    array = suffix_array(text)
-    shared = common_prefixes(text, array, length)[array]
+    spans = SpanHash(text)
+    array = suffix_array(text, spans)
+    shared = common_prefixes(text, array, spans, length)[array]
     group = np.cumsum(shared < length)
     owner = np.repeat(np.arange(len(pieces)), sizes + 1)
     owner = np.append(owner, 0)
@@ -375,11 +379,9 @@ def remove_repeats(documents: DataFrame, text: str = "text") -> DataFrame:
     )
     whole = stage(joined, "with_stretches")
     touched = whole.where("found is not null")
-    raw = F.encode("text", "UTF-8")
-    shown = touched.select(raw.alias("raw"), F.explode(F.filter("found", lambda x: x["shown"])).alias("x")).select(
-        F.col("x.key").alias("key"), F.col("x.content").alias("content"), F.col("x.n").alias("n"),
-        F.expr(f"substring(raw, x.at + 1, x.starts - 1 + {LENGTH})").alias("piece"), F.col("x.kinds").alias("kinds"),
-    )
+    piece = F.expr(f"""transform(filter(found, x -> x.shown), x -> named_struct('key', x.key, 'content', x.content, 'n', x.n,
+        'piece', substring(raw, x.at + 1, x.starts - 1 + {LENGTH}), 'kinds', x.kinds))""")
+    shown = touched.select(F.col("text").cast("binary").alias("raw"), "found").select(F.inline(piece))
     arrays = (
         shown.where(F.col("kinds") <= WIDE).drop("kinds").repartition("key").sortWithinPartitions("key", "content")
         .mapInArrow(_shard_runs, "key long, content long, runs array<struct<first int, n int>>")
