@@ -1,8 +1,7 @@
 """Main text of HTML pages from flat text blocks.
 
 A page is cut into blocks at block-level tags. Of each block the word count and link density, those of its
-neighbours, and where it stands (inside an article, a navigation part, a part named as advert or comments, and
-so on) go through a decision tree, which says whether it belongs to the article. The tree is trained by
+neighbours, and where it stands (inside the article, inside a navigation part or one named as advert, comments and so on) go through a decision tree, which says whether it belongs to the article. The tree is trained by
 Spark ML on the labelled blocks below and turned into a column expression, so pages are cut up in Arrow batches
 and blocks are classified in the JVM, within the row: no shuffle.
 """
@@ -20,83 +19,109 @@ from pyspark.sql import functions as F
 
 from tipoff.llm.common import texts
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "part", "named")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "boxed")
 
 # Labelled blocks. article: 1 inside the page's article, 0 if the page has none, -1 outside it.
-# part: 1 inside a navigation, header, footer, aside or form element. named: 1 inside an element
-# whose class, id or role names a menu, sidebar, notice, advert or comments.
-# words links words_before links_before words_after links_after article part named  wanted
+# boxed: 1 inside a navigation, header, footer, aside or form element, or inside one whose class, id or role names
+# a menu, sidebar, notice, advert or comments.
+# words links words_before links_before words_after links_after article boxed  wanted
 LABELLED = """
-    9 0.00    0 0.00   80 0.00   1 0 0  1
-   80 0.00    9 0.00   60 0.05   1 0 0  1
-    1 0.00   80 0.00   45 0.00   1 0 0  1
-   45 0.10    1 0.00    2 0.00   1 0 0  1
-    2 0.00   45 0.10  120 0.02   1 0 0  1
-  120 0.02    2 0.00    3 1.00   1 0 0  1
-   25 0.40   60 0.00   30 0.00   1 0 0  1
-    4 0.00    5 1.00   70 0.00   1 0 0  1
-   12 0.00    3 1.00    1 0.00   1 0 0  1
-    1 0.00   12 0.00    6 0.00   1 0 0  1
-    6 0.00    1 0.00    7 0.50   1 0 0  1
-    3 1.00   40 0.00   50 0.00   1 0 0  1
-   50 0.00    3 1.00    0 0.00   1 0 0  1
-    1 0.00    1 1.00   11 0.00   1 0 0  1
-   11 0.00    1 0.00    8 0.10   1 0 0  1
-    1 0.00   30 0.00    0 0.00   1 0 0  1
-    2 0.00    1 0.00    1 1.00   1 0 0  1
-    4 0.00   25 0.00    2 0.00   1 0 0  1
-    5 0.00    3 0.00    3 0.00   1 0 0  1
-   12 1.00   60 0.00   20 0.00   1 0 0  1
-    8 0.80   20 0.00    1 0.00   1 0 0  1
-   30 0.90    1 0.00    0 0.00   1 0 0  1
-    2 1.00    3 1.00    2 1.00   1 0 0  1
-    7 0.60   12 1.00   60 0.00   1 0 0  1
-    1 1.00    0 0.00    1 1.00  -1 1 0  0
-    1 1.00    1 1.00    1 1.00  -1 1 0  0
-    2 1.00    1 1.00   12 0.00  -1 1 0  0
-    8 0.10   50 0.00    0 0.00  -1 1 0  0
-   40 0.00   60 0.00    0 0.00  -1 1 0  0
-   12 0.00    2 1.00    9 0.00  -1 0 1  0
-    6 0.00    1 1.00   70 0.00  -1 0 1  0
-   35 0.05    1 1.00   14 0.00  -1 0 1  0
-   14 0.00   90 0.00   30 0.00  -1 0 1  0
-   30 0.00   14 0.00    5 0.20  -1 0 0  0
-    5 0.20   30 0.00    0 0.00  -1 0 0  0
-    3 0.00    4 1.00   11 0.00  -1 0 0  0
-   55 0.00    7 0.00    9 0.10  -1 0 0  0
-    2 1.00   80 0.00    2 1.00  -1 0 0  0
-   25 0.00   45 0.00   60 0.00   1 1 0  0
-    4 1.00   45 0.00   60 0.00   1 1 0  0
-    2 0.00   33 0.00   80 0.00   1 1 0  0
-   18 0.00   70 0.00   55 0.00   1 0 1  0
-    3 0.00   70 0.00   55 0.00   1 0 1  0
-   60 0.00   90 0.00   20 0.00   1 0 1  0
-   20 0.00   60 0.00    2 1.00   1 0 1  0
-    9 0.00    2 0.00   66 0.00   0 0 0  1
-   66 0.00    9 0.00   48 0.08   0 0 0  1
-   48 0.08   66 0.00    4 0.00   0 0 0  1
-    4 0.00   48 0.08   90 0.00   0 0 0  1
-   90 0.00    4 0.00    3 1.00   0 0 0  1
-   22 0.10   30 0.00   28 0.00   0 0 0  1
-   16 0.00    5 0.00   40 0.00   0 0 0  1
-   35 0.20    1 1.00    2 1.00   0 0 0  1
-    3 0.00   75 0.00   40 0.00   0 0 0  1
-    1 0.00   40 0.00   52 0.00   0 0 0  1
-    1 1.00    0 0.00    1 1.00   0 0 0  0
-    2 1.00    1 1.00    2 1.00   0 0 0  0
-    3 1.00    2 1.00    9 0.00   0 0 0  0
-    4 0.75    3 1.00    5 0.80   0 0 0  0
-   18 0.90    5 1.00    4 1.00   0 0 0  0
-   30 0.80   90 0.00    3 1.00   0 0 0  0
-    3 0.00    2 1.00    2 1.00   0 0 0  0
-    5 0.00    1 1.00    3 0.00   0 0 0  0
-    4 0.20    6 0.00    0 0.00   0 0 0  0
-   40 0.00   70 0.00    0 0.00   0 1 0  0
-    2 1.00    0 0.00   66 0.00   0 1 0  0
-   70 0.00   40 0.00   50 0.00   0 1 0  0
-   28 0.00   60 0.00   35 0.00   0 0 1  0
-    7 0.00   28 0.00   60 0.00   0 0 1  0
-   80 0.00   60 0.00   35 0.00   0 0 1  0
+    9 0.00    0 0.00   80 0.00   1 0  1
+   80 0.00    9 0.00   60 0.05   1 0  1
+    1 0.00   80 0.00   45 0.00   1 0  1
+   45 0.10    1 0.00    2 0.00   1 0  1
+    2 0.00   45 0.10  120 0.02   1 0  1
+  120 0.02    2 0.00    3 1.00   1 0  1
+   25 0.40   60 0.00   30 0.00   1 0  1
+    4 0.00    5 1.00   70 0.00   1 0  1
+   12 0.00    3 1.00    1 0.00   1 0  1
+    1 0.00   12 0.00    6 0.00   1 0  1
+    6 0.00    1 0.00    7 0.50   1 0  1
+    3 1.00   40 0.00   50 0.00   1 0  1
+   50 0.00    3 1.00    0 0.00   1 0  1
+    1 0.00    1 1.00   11 0.00   1 0  1
+   11 0.00    1 0.00    8 0.10   1 0  1
+    1 0.00   30 0.00    0 0.00   1 0  1
+    2 0.00    1 0.00    1 1.00   1 0  1
+    4 0.00   25 0.00    2 0.00   1 0  1
+    5 0.00    3 0.00    3 0.00   1 0  1
+   12 1.00   60 0.00   20 0.00   1 0  1
+    8 0.80   20 0.00    1 0.00   1 0  1
+   30 0.90    1 0.00    0 0.00   1 0  1
+    2 1.00    3 1.00    2 1.00   1 0  1
+    7 0.60   12 1.00   60 0.00   1 0  1
+    1 1.00    0 0.00    1 1.00  -1 1  0
+    1 1.00    1 1.00    1 1.00  -1 1  0
+    2 1.00    1 1.00   12 0.00  -1 1  0
+    8 0.10   50 0.00    0 0.00  -1 1  0
+   40 0.00   60 0.00    0 0.00  -1 1  0
+   12 0.00    2 1.00    9 0.00  -1 1  0
+    6 0.00    1 1.00   70 0.00  -1 1  0
+   35 0.05    1 1.00   14 0.00  -1 1  0
+   14 0.00   90 0.00   30 0.00  -1 1  0
+   30 0.00   14 0.00    5 0.20  -1 0  0
+    5 0.20   30 0.00    0 0.00  -1 0  0
+    3 0.00    4 1.00   11 0.00  -1 0  0
+   55 0.00    7 0.00    9 0.10  -1 0  0
+    2 1.00   80 0.00    2 1.00  -1 0  0
+   25 0.00   45 0.00   60 0.00   1 1  0
+    4 1.00   45 0.00   60 0.00   1 1  0
+    2 0.00   33 0.00   80 0.00   1 1  0
+   18 0.00   70 0.00   55 0.00   1 1  0
+    3 0.00   70 0.00   55 0.00   1 1  0
+   60 0.00   90 0.00   20 0.00   1 1  0
+   20 0.00   60 0.00    2 1.00   1 1  0
+    9 0.00    2 0.00   66 0.00   0 0  1
+   66 0.00    9 0.00   48 0.08   0 0  1
+   48 0.08   66 0.00    4 0.00   0 0  1
+    4 0.00   48 0.08   90 0.00   0 0  1
+   90 0.00    4 0.00    3 1.00   0 0  1
+   22 0.10   30 0.00   28 0.00   0 0  1
+   16 0.00    5 0.00   40 0.00   0 0  1
+   35 0.20    1 1.00    2 1.00   0 0  1
+    3 0.00   75 0.00   40 0.00   0 0  1
+    1 0.00   40 0.00   52 0.00   0 0  1
+    1 1.00    0 0.00    1 1.00   0 0  0
+    2 1.00    1 1.00    2 1.00   0 0  0
+    3 1.00    2 1.00    9 0.00   0 0  0
+    4 0.75    3 1.00    5 0.80   0 0  0
+   18 0.90    5 1.00    4 1.00   0 0  0
+   30 0.80   90 0.00    3 1.00   0 0  0
+    3 0.00    2 1.00    2 1.00   0 0  0
+    5 0.00    1 1.00    3 0.00   0 0  0
+    4 0.20    6 0.00    0 0.00   0 0  0
+   40 0.00   70 0.00    0 0.00   0 1  0
+    2 1.00    0 0.00   66 0.00   0 1  0
+   70 0.00   40 0.00   50 0.00   0 1  0
+   28 0.00   60 0.00   35 0.00   0 1  0
+    7 0.00   28 0.00   60 0.00   0 1  0
+   80 0.00   60 0.00   35 0.00   0 1  0
+   20 0.00   30 0.00   25 0.00   0 0  1
+   33 0.05   20 0.00   27 0.10   0 0  1
+   15 0.00   60 0.00    0 0.00   0 0  1
+   40 0.00    0 0.00   30 0.00   0 0  1
+   30 0.00   40 0.00    2 1.00   0 0  1
+   28 0.00    0 0.00    0 0.00   0 0  1
+   10 0.00    0 0.00   45 0.00   0 0  1
+  110 0.03   60 0.00   85 0.00   0 0  1
+   70 0.00  110 0.03    1 1.00   0 0  1
+    6 0.00   35 0.00   31 0.00   0 0  1
+    2 1.00   90 0.00    2 1.00   0 0  0
+    6 1.00   20 0.00    4 1.00   0 0  0
+   12 0.95   15 0.00   30 0.00   0 0  0
+    1 1.00   40 0.00    1 1.00   0 0  0
+    2 0.00    2 1.00    4 0.00   0 0  0
+    3 0.00    0 0.00    1 1.00   0 0  0
+   60 0.00    1 1.00   40 0.00   0 0  1
+   25 0.00    2 1.00   30 0.00   0 0  1
+   80 0.02    3 1.00    1 0.00   0 0  1
+   50 0.10   12 0.50   40 0.00   0 0  1
+   30 0.25   50 0.00   40 0.00   0 0  1
+   45 0.20   60 0.00   50 0.10   0 0  1
+   90 0.05    6 0.80    5 1.00   0 0  1
+   35 0.00    4 1.00    3 1.00   0 0  1
+    4 0.30   20 0.00    2 1.00   0 0  0
+    8 0.00    3 1.00    2 1.00   0 0  0
 """
 
 # element names: what cuts blocks, what is dropped with its content, what makes a navigation part
@@ -143,11 +168,11 @@ def blocks(page: str) -> list[tuple]:
     White space inside a block is one blank and blocks without text are left out. Markup may be cut off or badly nested: a closing tag
     closes the nearest open element of its name, if any.
     """
-    found: list[list] = []  # text, words, links, in article, part, named
+    found: list[list] = []  # text, words, links, in article, boxed
     pieces: list[str] = []
     linked = 0
-    held: list[tuple[str, int, int, int]] = []  # open elements with what holds inside them: in article, part, named
-    article = part = named = 0
+    held: list[tuple[str, int, int]] = []  # open elements with what holds inside them: in article, boxed
+    article = boxed = 0
     in_link, has_article, at = False, False, 0
 
     def cut():
@@ -155,7 +180,7 @@ def blocks(page: str) -> list[tuple]:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             words = len(text.split())
-            found.append([text, words, min(linked / words, 1.0), article, part, named])
+            found.append([text, words, min(linked / words, 1.0), article, boxed])
         pieces.clear()
         linked = 0
 
@@ -187,10 +212,8 @@ def blocks(page: str) -> list[tuple]:
         elif name in HOLDING and not m["rest"].endswith("/"):
             if name in ARTICLES:
                 has_article = True
-            held.append(
-                (name, int(article or name in ARTICLES), int(part or name in PARTS), int(named or _named(m["rest"])))
-            )
-        article, part, named = held[-1][1:] if held else (0, 0, 0)
+            held.append((name, int(article or name in ARTICLES), int(boxed or name in PARTS or _named(m["rest"]))))
+        article, boxed = held[-1][1:] if held else (0, 0)
     tail = page[at:]
     if tail:
         pieces.append(tail)
@@ -198,10 +221,10 @@ def blocks(page: str) -> list[tuple]:
             linked += len(html.unescape(tail).split())
     cut()
     out = []
-    for k, (text, words, links, inside, *flags) in enumerate(found):
+    for k, (text, words, links, inside, box) in enumerate(found):
         before = found[k - 1][1:3] if k else (0, 0.0)
         after = found[k + 1][1:3] if k + 1 < len(found) else (0, 0.0)
-        out.append((text, words, links, *before, *after, (1 if inside else -1) if has_article else 0, *flags))
+        out.append((text, words, links, *before, *after, (1 if inside else -1) if has_article else 0, box))
     return out
 
 
@@ -232,7 +255,7 @@ def fit(spark: SparkSession) -> str:
     rows = [tuple(map(float, line.split())) for line in LABELLED.strip().splitlines()]
     table = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in FEATURES) + ", label double").coalesce(1)
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    return DecisionTreeClassifier(maxDepth=7, maxBins=64, seed=1).fit(table).toDebugString
+    return DecisionTreeClassifier(maxDepth=7, maxBins=128, minInstancesPerNode=2, seed=1).fit(table).toDebugString
 
 
 def _condition(lines: list[str], block: Column) -> Column:

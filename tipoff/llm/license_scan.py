@@ -122,7 +122,7 @@ FOUND = "array<struct<start:int,back:int,rank:int,k:int,stop:int,label:string,su
 
 
 def _detections() -> Column:
-    """All matches of all rules whose keywords are in ``_norm``, as characters of it, sorted for the sweep."""
+    """All matches of all rules whose keywords are in ``_hay``, as characters of it, sorted for the sweep."""
     matches = """
       aggregate(
         filter(zip_with(split(_norm, r.rx, -1), regexp_extract_all(_norm, r.rx, 0),
@@ -134,7 +134,7 @@ def _detections() -> Column:
         acc -> acc.found)""".format(t=FOUND)
     return F.expr(f"""
       array_sort(flatten(transform(
-        filter(flatten(transform(filter(_rules, e -> contains(_norm, e.key)), e -> e.rules)), r -> contains(_norm, r.word)),
+        filter(flatten(transform(filter(_rules, e -> contains(_hay, e.key)), e -> e.rules)), r -> contains(_hay, r.word)),
         r -> {matches})))""")
 
 
@@ -179,7 +179,8 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     # texts past the gate are the only ones whose words are looked at
     work = work.withColumn("_gated", F.col("_text").rlike(GATE))
     work = work.withColumn("_norm", F.when(F.col("_gated"), F.trim(F.regexp_replace(lowered, BREAKS, " "))).otherwise(F.lit("")))
-    work = work.withColumn("_words", F.split("_norm", " "))
+    # keywords may end in a blank
+    work = work.withColumns({"_words": F.split("_norm", " "), "_hay": F.concat("_norm", F.lit(" "))})
     places = _base_places()
     work = work.withColumns({f"_p_{label}": F.when(F.col("_gated"), p).otherwise(F.expr("cast(array() as array<int>)")) for label, p in places.items()})
     work = work.withColumn("_rules", F.expr(_rule_table()))

@@ -41,7 +41,7 @@ def drop_boilerplate(
         F.struct("*").alias("_page"), key.alias("_host"), F.split(F.col(text), "\n", -1).alias("_lines")
     )
     totals = work.groupBy("_host").agg(F.count("*").alias("pages"))
-    codes = F.transform(F.filter(F.transform("_lines", F.trim), lambda x: x != ""), _code)
+    codes = F.transform(F.filter(F.transform("_lines", lambda x: F.trim(x)), lambda x: x != ""), _code)
     counts = (
         work.select("_host", F.explode(F.array_distinct(codes)).alias("code"))
         .groupBy("_host", "code").agg(F.count("*").alias("n"))
