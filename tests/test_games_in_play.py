@@ -16,26 +16,6 @@ from tipoff.streaming.snapshots import stream_game_snapshots
 PBP = "GAME_ID string, actionNumber int, clock string, period int, scoreHome string, scoreAway string"
 
 
-def seconds(clock, period):
-    try:
-        m, s = map(int, clock.split(":"))
-    except (ValueError, AttributeError):
-        return 0
-    return m * 60 + s + max(0, 4 - period) * 720
-
-
-def fold(events, interval=60):
-    """The rule, one event at a time."""
-    events = sorted(events, key=lambda e: e[1])
-    kept, last = [], float("inf")
-    for i, e in enumerate(events):
-        left = seconds(e[2], e[3])
-        if last - left >= interval or i in (0, len(events) - 1):
-            kept.append((e[0], e[1], left, int(e[4] or 0) - int(e[5] or 0)))
-            last = left
-    return kept
-
-
 def random_game(rng, game, n, ordered=True):
     clocks = [rng.randint(0, 4 * 720 - 1) for _ in range(n)]
     if ordered:
@@ -67,19 +47,45 @@ def taken(df):
     return sorted(tuple(r) for r in rows)
 
 
-def test_batch_equals_fold(spark, games):
-    events = [e for g in games.values() for e in g]
-    random.Random(0).shuffle(events)
+def test_snapshots_of_written_out_games(spark):
+    events = [
+        ("a", 1, "12:00", 1, "0", "0"), ("a", 2, "11:30", 1, "2", "0"), ("a", 3, "11:00", 1, "2", "3"), ("a", 4, "10:59", 1, "5", "3"),
+        ("a", 7, "10:00", 1, "5", "6"), ("a", 8, "00:00", 4, "5", "6"), ("a", 9, "00:00", 4, "7", "6"),
+        ("over", 1, "00:30", 4, "99", "99"), ("over", 2, "05:00", 5, "99", "99"), ("over", 3, "04:00", 5, "99", "101"),
+        ("bad", 1, "12:00", 1, "0", "0"), ("bad", 2, "x", 1, None, "2"), ("bad", 3, "00:10.5", 4, "4", "2"),
+        ("one", 5, "03:00", 2, "10", "20"),
+    ]
+    want = [
+        ("a", 1, 2880, 0), ("a", 3, 2820, -1), ("a", 7, 2760, -1), ("a", 8, 0, -1), ("a", 9, 0, 1),
+        # overtime runs on a clock of its own, so its last event is there only as the last
+        ("over", 1, 30, 0), ("over", 3, 240, -2),
+        ("bad", 1, 2880, 0), ("bad", 2, 0, -2), ("bad", 3, 0, 2),
+        ("one", 5, 1620, -10),
+    ]
     got = snapshots.game_snapshots(spark.createDataFrame(events, PBP))
-    assert taken(got) == sorted(r for g in games.values() for r in fold(g))
-    winner = {g: int(int(e[-1][4]) > int(e[-1][5])) for g, e in games.items()}
-    for row in got.collect():
-        assert row["FINAL_WIN_HOME"] == winner[row["GAME_ID"]] and row["HOME"] == 1 and row["CURRENT_FG_DIFF"] == 0
+    assert taken(got) == sorted(want)
+    assert {r["GAME_ID"]: r["FINAL_WIN_HOME"] for r in got.collect()} == {"a": 1, "over": 0, "bad": 1, "one": 0}
 
 
-def test_wider_interval(spark, games):
-    got = snapshots.game_snapshots(spark.createDataFrame(games["hot"], PBP), interval=300)
-    assert taken(got) == sorted(fold(games["hot"], 300))
+@pytest.mark.parametrize("interval", [60, 300])
+def test_snapshots_are_spaced(spark, games, interval):
+    ordered = {g: e for g, e in games.items() if g not in ("messy", "overtime", "noclock")}
+    events = [e for g in ordered.values() for e in g]
+    random.Random(0).shuffle(events)
+    by_game = {}
+    for row in snapshots.game_snapshots(spark.createDataFrame(events, PBP), interval=interval).collect():
+        assert row["HOME"] == 1 and row["CURRENT_FG_DIFF"] == 0
+        by_game.setdefault(row["GAME_ID"], []).append(row)
+    for game, sent in ordered.items():
+        rows = sorted(by_game[game], key=lambda r: r["ACTION_NUMBER"])
+        assert (rows[0]["ACTION_NUMBER"], rows[-1]["ACTION_NUMBER"]) == (sent[0][1], sent[-1][1])
+        left = [r["TIME_REMAINING"] for r in rows]
+        assert all(a - b >= interval for a, b in zip(left[:-2], left[1:-1]))
+        # nothing due was passed over: between two snapshots no event is an interval after the first
+        clock = {r["ACTION_NUMBER"]: r["TIME_REMAINING"] for r in snapshots.game_snapshots(spark.createDataFrame(sent, PBP), interval=0).collect()} if len(sent) < 30 else {}
+        for a, b in zip(rows, rows[1:]):
+            between = [t for n, t in clock.items() if a["ACTION_NUMBER"] < n < b["ACTION_NUMBER"]]
+            assert all(a["TIME_REMAINING"] - t < interval for t in between)
 
 
 def test_stream_equals_batch(spark, games, tmp_path):
@@ -93,10 +99,9 @@ def test_stream_equals_batch(spark, games, tmp_path):
         stream_game_snapshots(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(
             availableNow=True
         ).start(out).awaitTermination()
-    got = spark.read.parquet(out)
-    assert taken(got) == sorted(r for g in games.values() for r in fold(g))
-    finals = got.where("FINAL_WIN_HOME IS NOT NULL")
-    assert finals.count() == len(games)
+    columns = ["GAME_ID", "ACTION_NUMBER", "PERIOD", "TIME_REMAINING", "CURRENT_SCORE_DIFF", "CURRENT_FG_DIFF", "HOME", "FINAL_WIN_HOME"]
+    want = snapshots.game_snapshots(spark.createDataFrame([e for g in games.values() for e in g], PBP)).select(*columns)
+    assert sorted(map(tuple, spark.read.parquet(out).select(*columns).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_pregame(spark):

@@ -1,5 +1,6 @@
 """Every registered query with SQL gives the SQL's rows on the smallest tables."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -22,8 +23,9 @@ def con():
 
 
 def test_keys():
-    assert set(entry.oracle_sql()) == set(REGISTRY) - ROWS_ONLY
-    assert set(entry.queries()) == set(REGISTRY)
+    own = lambda names: {n for n in names if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert own(entry.oracle_sql()) == set(REGISTRY) - ROWS_ONLY
+    assert own(entry.queries()) == set(REGISTRY)
 
 
 @pytest.mark.parametrize("name", [n for n in REGISTRY if n not in ROWS_ONLY])

@@ -127,3 +127,22 @@ def test_quality(spark):
 
 def test_sql_scan(spark):
     assert tables.sql_scan(spark, "SELECT max(id) AS m FROM {t}", t=spark.range(5)).first()["m"] == 4
+
+
+def test_a_key_leaves_a_partition_with_special_characters(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = "k string, v int, SEASON string"
+    store.write_partitioned(spark.createDataFrame([("a", 1, "x:y/z"), ("b", 2, "w")], rows), "t")
+    store.merge_upsert(spark.createDataFrame([("a", 5, "w")], rows), "t", keys=["k"])
+    assert sorted(map(tuple, store.read("t").collect())) == [("a", 5, "w"), ("b", 2, "w")]
+
+
+def test_a_second_backfill_keeps_the_first(spark, tmp_path):
+    from tipoff.sources.tables import backfill
+
+    games = spark.createDataFrame([(str(y), f"{y}-12-01") for y in range(1992, 1999)], "GAME_ID string, d string")
+    games = games.withColumn("GAME_DATE", F.to_date("d")).drop("d")
+    first = backfill(games, str(tmp_path), 1992, 1994)
+    second = backfill(games, str(tmp_path), 1995, 1998)
+    assert len(first) == 3 and len(second) == 4
+    assert spark.read.option("header", True).csv(first + second).count() == 7

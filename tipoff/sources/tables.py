@@ -69,8 +69,9 @@ def backfill(rows: DataFrame, root: str, first: int, last: int) -> list[str]:
     labelled = rows.withColumn("season_file", season_label(F.col("GAME_DATE"))).where(
         F.array_contains(season_range(first, last), F.col("season_file"))
     )
+    # only the folders of these seasons are replaced
     _by_partition(labelled, "season_file").write.mode("overwrite").option("header", True).option(
-        "partitionOverwriteMode", "static"
+        "partitionOverwriteMode", "dynamic"
     ).partitionBy("season_file").csv(root)
     written = labelled.select("season_file").distinct().collect()
     return [f"{root}/season_file={row[0]}" for row in written]
@@ -180,18 +181,20 @@ class TableStore:
         )
         # partition values are few and bound the rewrite; as literals they prune directories at the scan
         values = [row[by] for row in touched.collect()]
+        # where each partition lies, as its name in a path may be written otherwise than its value
+        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+        folders = dict(target.where(_in(by, values)).select(by, folder).distinct().collect())
         kept = target.where(_in(by, values)).join(incoming, list(keys), "left_anti")
         merged = stage(kept.select(*target.columns).unionByName(incoming), f"{name}-merged")
         self.overwrite_partitions(merged, name, by)
         left = {row[by] for row in merged.select(by).distinct().collect()}
         for value in values:
-            if value not in left:
-                self._drop_partition(name, by, value)
+            if value not in left and value in folders:
+                self._drop_folder(folders[value])
 
-    def _drop_partition(self, name: str, by: str, value) -> None:
+    def _drop_folder(self, address: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        label = "__HIVE_DEFAULT_PARTITION__" if value is None else value
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{by}={label}")
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(address))
         folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 

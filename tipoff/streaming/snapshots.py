@@ -17,8 +17,14 @@ OUTPUT = (
 )
 
 
+KEPT = "ACTION_NUMBER bigint, PERIOD int, TIME_REMAINING int, scoreHome bigint, scoreAway bigint"
+KEPT_COLUMNS = ["ACTION_NUMBER", "PERIOD", "TIME_REMAINING", "scoreHome", "scoreAway"]
+
+
 class GreedySnapshots(StatefulProcessor):
-    """State per game: seconds left at the last snapshot.
+    """State per game: seconds left at the last snapshot, and the snapshots so far (one a minute of the clock at most).
+
+    Snapshots come out when the game's final event does, all with the winner.
 
     Batches must bring a game's events in order; within a batch any order will do. Each Arrow chunk is
     first reduced to the first event per clock second, so a batch with very many events of one game
@@ -30,6 +36,7 @@ class GreedySnapshots(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "remaining int")
+        self.kept = handle.getListState("kept", KEPT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept_rows, finals = None, []
@@ -47,26 +54,29 @@ class GreedySnapshots(StatefulProcessor):
                 last = remaining
         out = kept_rows.iloc[due]
         ends = pd.concat(finals)
-        ended = len(ends) > 0
-        if ended:
-            out = pd.concat([out, ends[~ends["ACTION_NUMBER"].isin(out["ACTION_NUMBER"])]])
-            self.last.clear()
-        else:
+        if not len(ends):
             self.last.update((int(last),))
-        diff = out["scoreHome"] - out["scoreAway"]
-        result = pd.DataFrame(
+            if len(out):
+                self.kept.appendList([tuple(map(int, r)) for r in out[KEPT_COLUMNS].itertuples(index=False)])
+            return
+        out = pd.concat([out, ends[~ends["ACTION_NUMBER"].isin(out["ACTION_NUMBER"])]])
+        earlier = pd.DataFrame(list(self.kept.get()) if self.kept.exists() else [], columns=KEPT_COLUMNS)
+        out = pd.concat([earlier, out[KEPT_COLUMNS]]).astype("int64")
+        self.last.clear()
+        self.kept.clear()
+        end = ends.iloc[-1]
+        yield pd.DataFrame(
             {
                 "GAME_ID": key[0],
                 "ACTION_NUMBER": out["ACTION_NUMBER"],
                 "PERIOD": out["PERIOD"],
                 "TIME_REMAINING": out["TIME_REMAINING"],
-                "CURRENT_SCORE_DIFF": diff,
+                "CURRENT_SCORE_DIFF": out["scoreHome"] - out["scoreAway"],
                 "CURRENT_FG_DIFF": 0,
                 "HOME": 1,
-                "FINAL_WIN_HOME": (diff > 0).astype("Int64").where(out["isFinal"]),
+                "FINAL_WIN_HOME": int(end["scoreHome"] > end["scoreAway"]),
             }
-        )
-        yield result.reset_index(drop=True)
+        ).reset_index(drop=True)
 
     def close(self) -> None:
         pass
@@ -75,8 +85,7 @@ class GreedySnapshots(StatefulProcessor):
 def stream_game_snapshots(events: DataFrame, interval: int = 60) -> DataFrame:
     """Streaming play-by-play (with ``isFinal`` on a game's last event) to snapshots.
 
-    The last event is only known when its marker comes, and with it the winner: FINAL_WIN_HOME is set on
-    that row alone.
+    A game's snapshots come out together when its marker comes, all labelled with the winner.
     """
     rows = events.select(*timed_columns(), F.coalesce("isFinal", F.lit(False)).alias("isFinal"))
     return rows.groupBy("GAME_ID").transformWithStateInPandas(

@@ -567,7 +567,7 @@ SQL["draw_trials"] = (
 _SNAP = "GAME_ID, ACTION_NUMBER, PERIOD, TIME_REMAINING, CURRENT_SCORE_DIFF, CURRENT_FG_DIFF, HOME"
 SQL["game_snapshots"] = sql(f"SELECT {_SNAP}, FINAL_WIN_HOME FROM snaps")
 SQL["stream_snapshots"] = sql(
-    f"SELECT {_SNAP}, CASE WHEN is_final THEN FINAL_WIN_HOME END AS FINAL_WIN_HOME FROM snaps"
+    f"SELECT {_SNAP}, FINAL_WIN_HOME FROM snaps"
 )
 SQL["snapshot_pregame"] = sql(
     "SELECT LPAD(s.GAME_ID, 10, '0') AS GAME_ID, ACTION_NUMBER, PERIOD, TIME_REMAINING, CURRENT_SCORE_DIFF, CURRENT_FG_DIFF, "

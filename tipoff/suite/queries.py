@@ -216,7 +216,10 @@ def bronze_one_day(spark, sf):
 @query
 def season_files(spark, sf):
     """All seasons written by one backfill job, then read as a list of season files."""
-    folders = tables.backfill(bronze_rows(spark, sf), fresh_path(spark, "seasons"), 1990, 2010)
+    rows = bronze_rows(spark, sf)
+    year = X.season_start_year(F.to_date("GAME_DATE"))
+    first, last = rows.agg(F.min(year), F.max(year)).first()
+    folders = tables.backfill(rows, fresh_path(spark, "seasons"), first, last)
     back = tables.read_season_files(spark, folders, schema.BRONZE_GAMES)
     return back.groupBy("SEASON").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("PTS"), 4).alias("avg_pts"))
 
@@ -273,7 +276,9 @@ def append_by_ingestion(spark, sf):
 def register_table(spark, sf):
     store = TableStore(spark, fresh_path(spark, "catalog"))
     store.write_partitioned(fx.silver(spark, sf).select(*KEY, "PTS"), schema.SILVER_GAMES)
-    name = store.register(schema.SILVER_GAMES, f"games_{store.root.rsplit('-', 1)[-1]}")
+    # one name for every run, so that the catalog keeps no trace of earlier ones
+    spark.sql("DROP TABLE IF EXISTS games_registered")
+    name = store.register(schema.SILVER_GAMES, "games_registered")
     return spark.table(name).groupBy("SEASON").agg(F.count(F.lit(1)).alias("rows"), F.max("PTS").alias("max_pts"))
 
 
