@@ -156,6 +156,15 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
 
 
+def test_html_wrappers_and_missing_ends():
+    page = """<html><head><meta charset=x><body class="has-sidebar"><div class="page-menu wrapper"><main><p>Crumbs here</p><article class=post>
+<p>One two.<p>Three <i>four</i>.</article><section class=comments><article><p>I say so too.</article></section></main></div><!-- open"""
+    assert [(b[0], b[-2], b[-1]) for b in html_extract.blocks(page)] == [
+        ("Crumbs here", -1, 0), ("One two.", 1, 0), ("Three four.", 1, 0), ("I say so too.", 1, 1),
+    ]
+    assert [b[-2] for b in html_extract.blocks("<div><main><p>a<p>b</main><p>c")] == [1, 1, -1]
+
+
 def test_html_tree_is_what_spark_predicts(spark):
     tree = html_extract.fit(spark)
     rows = [tuple(map(float, line.split())) for line in html_extract.LABELLED.strip().splitlines()]

@@ -1,7 +1,8 @@
 """Main text of HTML pages from flat text blocks.
 
 A page is cut into blocks at block-level tags. Of each block the word count and link density, those of its
-neighbours, and where it stands (inside the article, inside a navigation part or one named as advert, comments and so on) go through a decision tree, which says whether it belongs to the article. The tree is trained by
+neighbours, and where it stands (inside the article, inside a navigation part or one named as advert, comments and so
+on) go through a decision tree, which says whether it belongs to the article. The tree is trained by
 Spark ML on the labelled blocks below and turned into a column expression, so pages are cut up in Arrow batches
 and blocks are classified in the JVM, within the row: no shuffle.
 """
@@ -130,7 +131,7 @@ CUTTING = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol option optgroup p pre section select summary "
     "table tbody td tfoot th thead title tr ul video audio canvas caption".split()
 )
-DROPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "button", "title", "head")
+DROPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "button", "title")
 PARTS = frozenset("nav header footer aside form menu dialog".split())
 ARTICLES = frozenset("article main".split())
 HOLDING = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header li main menu nav ol section table td tr ul".split())
@@ -166,14 +167,15 @@ def blocks(page: str) -> list[tuple]:
     """Text blocks of a page in order: the text, then FEATURES.
 
     White space inside a block is one blank and blocks without text are left out. Markup may be cut off or badly nested: a closing tag
-    closes the nearest open element of its name, if any.
+    closes the nearest open element of its name, if any. What a page's first article or main element lies in does not
+    count against it, so that a wrapper named after its sidebar does no harm.
     """
     found: list[list] = []  # text, words, links, in article, boxed
     pieces: list[str] = []
     linked = 0
     held: list[tuple[str, int, int]] = []  # open elements with what holds inside them: in article, boxed
-    article = boxed = 0
-    in_link, has_article, at = False, False, 0
+    article = boxed = 0  # article: 1 inside a main element, 2 inside an article
+    in_link, seen, at = False, set(), 0
 
     def cut():
         nonlocal linked
@@ -210,9 +212,11 @@ def blocks(page: str) -> list[tuple]:
                     del held[k:]
                     break
         elif name in HOLDING and not m["rest"].endswith("/"):
-            if name in ARTICLES:
-                has_article = True
-            held.append((name, int(article or name in ARTICLES), int(boxed or name in PARTS or _named(m["rest"]))))
+            own = name in PARTS or _named(m["rest"])
+            if name in ARTICLES and name not in seen:
+                seen.add(name)
+                boxed = 0
+            held.append((name, max(article, {"main": 1, "article": 2}.get(name, 0)), int(boxed or own)))
         article, boxed = held[-1][1:] if held else (0, 0)
     tail = page[at:]
     if tail:
@@ -224,7 +228,9 @@ def blocks(page: str) -> list[tuple]:
     for k, (text, words, links, inside, box) in enumerate(found):
         before = found[k - 1][1:3] if k else (0, 0.0)
         after = found[k + 1][1:3] if k + 1 < len(found) else (0, 0.0)
-        out.append((text, words, links, *before, *after, (1 if inside else -1) if has_article else 0, box))
+        # an article counts more than the main element around it
+        level = 0 if not seen else 1 if inside >= (2 if "article" in seen else 1) else -1
+        out.append((text, words, links, *before, *after, level, box))
     return out
 
 
