@@ -562,7 +562,7 @@ def _draw(name: str) -> str:
 
 
 SQL["draw_trials"] = (
-    f"SELECT trial, {', '.join(_draw(n) for n in SPACE)} FROM (SELECT CAST(ROW_NUMBER() OVER () - 1 AS INTEGER) AS trial FROM part)"
+    f"SELECT trial, {', '.join(_draw(n) for n in SPACE)} FROM (SELECT CAST(p_partkey AS INTEGER) AS trial FROM part)"
 )
 _SNAP = "GAME_ID, ACTION_NUMBER, PERIOD, TIME_REMAINING, CURRENT_SCORE_DIFF, CURRENT_FG_DIFF, HOME"
 SQL["game_snapshots"] = sql(f"SELECT {_SNAP}, FINAL_WIN_HOME FROM snaps")

@@ -604,9 +604,9 @@ def select_trial(spark, sf):
 
 @query
 def draw_trials(spark, sf):
-    """One draw per part: as many trials as the table has rows."""
-    n = fx.table(spark, sf, "part").count()
-    return rounded(trials.draw_trials(spark, n, 36))
+    """A point of the search space for every part, drawn by its key."""
+    parts = fx.table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("trial"))
+    return rounded(trials.add_draws(parts, 36))
 
 
 # ---- in-game snapshots, board, matchups --------------------------------------------------------
