@@ -1,12 +1,13 @@
 """Game-log rows derived from the given star-schema tables.
 
-An order is a game, the nation of a supplier is a team, and the first two nations of an order (by line
-number) are home and away. The derivation runs over the whole tables.
+The nation of a supplier is a team and all its lines of an order are its box score. The order's first nation (by line
+number) is at home to each of the others, one game each; an order of one nation has no opponent and gives no game. The
+derivation runs over the whole tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipoff.functions import exprs as X
@@ -19,11 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def staged(spark: SparkSession, sf_dir: str, name: str, build, by: str | None = None) -> DataFrame:
     """A table of the medallion chain, written once per application and read by the later jobs."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
-        _STAGED[key] = stage(build(), name)
+        _STAGED[key] = stage(build(), name, by)
     return _STAGED[key]
 
 
@@ -35,62 +36,60 @@ def team_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("gd"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    per_team = Window.partitionBy("l_orderkey", "s_nationkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"
-    )
-    per_game = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "s_nationkey")
-    # both ranks are cut right away, so hot orders are thinned before each shuffle
-    sides = (
+    qty, disc, line = F.col("l_quantity"), F.col("l_discount"), F.col("l_linenumber")
+    shot = disc != 0
+    # all lines of a team in an order, combined before the shuffle
+    boxes = (
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .withColumn("rn", F.row_number().over(per_team))
-        .where("rn = 1")
-        .withColumn("rk", F.row_number().over(per_game))
-        .where("rk <= 2")
-        .withColumn("abbr", F.concat(F.lit("N"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("l_orderkey", "s_nationkey")
+        .agg(
+            F.min(line).alias("first_line"),
+            F.round(F.sum("l_extendedprice"), 2).alias("PTS"),
+            F.sum(F.when(shot, F.floor(qty * (1 - disc))).otherwise(0)).alias("FGM"),
+            F.sum(F.when(shot, qty).otherwise(0)).alias("FGA"),
+            F.sum(F.when(shot, F.floor(qty * disc * 2)).otherwise(0)).alias("FG3M"),
+            F.floor(F.sum(qty) / 2).alias("FG3A"),
+            F.max(disc).alias("FG3_PCT"),
+            F.sum(line).alias("FTM"),
+            F.sum(line + 2).alias("FTA"),
+            F.max("l_tax").alias("FT_PCT"),
+            F.sum(line).alias("OREB"),
+            F.sum("p_size").alias("DREB"),
+            F.sum(line + F.col("p_size")).alias("REB"),
+            F.sum(F.col("l_partkey") % 31).alias("AST"),
+            F.sum(F.col("l_suppkey") % 12).alias("STL"),
+            F.sum(F.col("l_partkey") % 7).alias("BLK"),
+            F.sum(F.col("l_partkey") % 5).alias("TOV"),
+        )
     )
-    game = Window.partitionBy("l_orderkey").orderBy("rk")
-
-    def other(column: str):
-        return F.coalesce(F.lead(column).over(game), F.lag(column).over(game))
-
-    paired = sides.withColumns({"opp_abbr": other("abbr"), "opp_price": other("l_extendedprice")}).where(
-        "opp_abbr IS NOT NULL"
+    # an order has at most one row a nation here; the array's order is that of the first two fields
+    sides = boxes.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("first_line", *[c for c in boxes.columns if c not in ("l_orderkey", "first_line")]))).alias("teams")
     )
-    wide = (
-        paired.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    games = sides.select(
+        "l_orderkey", F.get("teams", F.lit(0)).alias("home"), F.posexplode(F.expr("slice(teams, 2, size(teams))")).alias("k", "away")
+    )
+    views = [F.struct(F.col(me).alias("me"), F.col(opp).alias("opp"), F.lit(me == "home").alias("at_home")) for me, opp in (("home", "away"), ("away", "home"))]
+    rows = games.select("l_orderkey", (F.col("k") + 2).alias("number"), F.explode(F.array(*views)).alias("v")).select(
+        "l_orderkey", "number", "v.at_home", "v.me.*", F.col("v.opp.s_nationkey").alias("opp_nation"), F.col("v.opp.PTS").alias("opp_price")
     )
-    qty, disc, price = F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice")
-    blank = disc == 0
-    home = F.col("rk") == 1
-    number = lambda column: column.cast("double")
+    wide = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    code = lambda nation: F.concat(F.lit("N"), F.lpad(F.col(nation).cast("string"), 2, "0"))
+    number = lambda name: F.col(name).cast("double").alias(name)
+    price, home = F.col("PTS"), F.col("at_home")
     return wide.select(
-        F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("GAME_ID"),
+        F.format_string("%010d", F.col("l_orderkey").cast("long") * 100 + F.col("number")).alias("GAME_ID"),
         F.col("gd").alias("GAME_DATE"),
         X.season_label(F.col("gd")).alias("SEASON"),
         F.col("s_nationkey").cast("string").alias("TEAM_ID"),
-        F.col("abbr").alias("TEAM_ABBREVIATION"),
+        code("s_nationkey").alias("TEAM_ABBREVIATION"),
         F.col("n_name").alias("TEAM_NAME"),
-        F.concat("abbr", F.when(home, " vs. ").otherwise(" @ "), "opp_abbr").alias("MATCHUP"),
+        F.concat(code("s_nationkey"), F.when(home, " vs. ").otherwise(" @ "), code("opp_nation")).alias("MATCHUP"),
         F.when((price > F.col("opp_price")) | ((price == F.col("opp_price")) & home), "W").otherwise("L").alias("WL"),
-        price.alias("PTS"),
-        F.when(blank, 0.0).otherwise(number(F.floor(qty * (1 - disc)))).alias("FGM"),
-        F.when(blank, 0.0).otherwise(qty).alias("FGA"),
-        F.when(~blank, F.round(F.floor(qty * (1 - disc)) / qty, 3)).alias("FG_PCT"),
-        F.when(blank, 0.0).otherwise(number(F.floor(qty * disc * 2))).alias("FG3M"),
-        number(F.floor(qty / 2)).alias("FG3A"),
-        disc.alias("FG3_PCT"),
-        number(F.col("l_linenumber")).alias("FTM"),
-        number(F.col("l_linenumber") + 2).alias("FTA"),
-        F.col("l_tax").alias("FT_PCT"),
-        number(F.col("l_linenumber")).alias("OREB"),
-        number(F.col("p_size")).alias("DREB"),
-        number(F.col("l_linenumber") + F.col("p_size")).alias("REB"),
-        number(F.col("l_partkey") % 31).alias("AST"),
-        number(F.col("l_suppkey") % 12).alias("STL"),
-        number(F.col("l_partkey") % 7).alias("BLK"),
-        number(F.col("l_partkey") % 5).alias("TOV"),
+        number("PTS"), number("FGM"), number("FGA"),
+        F.when(F.col("FGA") != 0, F.col("FGM") / F.col("FGA")).alias("FG_PCT"),
+        *[number(c) for c in ("FG3M", "FG3A", "FG3_PCT", "FTM", "FTA", "FT_PCT", "OREB", "DREB", "REB", "AST", "STL", "BLK", "TOV")],
         F.round(price - F.col("opp_price"), 2).alias("PLUS_MINUS"),
         F.when(F.month("gd").isin(4, 5, 6), "Playoffs").otherwise("Regular Season").alias("season_type"),
         F.col("gd").cast("string").alias("INGEST_DATE"),
@@ -110,10 +109,10 @@ def team_games_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The silver games table: one row per (game, team), newest ingest."""
+    """The silver games table, partitioned by season: one row per (game, team), newest ingest."""
     from tipoff.operators.games import clean_silver
 
-    return staged(spark, sf_dir, "silver", lambda: clean_silver(team_games_raw(spark, sf_dir)))
+    return staged(spark, sf_dir, "silver", lambda: clean_silver(team_games_raw(spark, sf_dir)), by="SEASON")
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +185,7 @@ def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.groupBy("season", "player_id")
         .agg(F.count(F.lit(1)).alias("teams"), F.sum("g").alias("g"))
         .where("teams >= 2")
-        .select("season", "player_id", F.concat(F.least(F.lit(4), "teams").cast("string"), F.lit("TM")).alias("team"), "g")
+        .select("season", "player_id", F.concat(F.col("teams").cast("string"), F.lit("TM")).alias("team"), "g")
     )
     return rows.unionByName(sums)
 

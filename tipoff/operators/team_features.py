@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tipoff import schema
 from tipoff.operators.ordered import Before, GapDays, TrailingMean, with_history
 
+# what a game row shows its opponent: ids, result and rolling form
+OPPONENT_COLUMNS = ["TEAM_ID", "TEAM_ABBREVIATION", "TEAM_NAME", "TEAM_WIN", *schema.OPPONENT_ROLLING]
+
 
 def rolling_specs(names: Sequence[str] | None = None) -> list:
     return [
@@ -30,29 +33,24 @@ def add_team_history(df: DataFrame, names: Sequence[str] | None = None, rest: bo
     return out
 
 
-def opponent_view(df: DataFrame) -> DataFrame:
-    """What a game row shows its opponent: ids, result and rolling form under opponent names."""
-    return df.select(
-        "GAME_ID",
-        "SEASON",
-        # the venue flag of the row this view is to be joined to
-        (1 - F.col("HOME")).alias("HOME"),
-        F.col("TEAM_ID").alias("OPP_TEAM_ID"),
-        F.col("TEAM_ABBREVIATION").alias("OPP_TEAM_ABBREVIATION"),
-        F.col("TEAM_NAME").alias("OPP_TEAM_NAME"),
-        F.col("TEAM_WIN").alias("OPP_TEAM_WIN"),
-        *[F.col(name).alias(f"OPP_{name}") for name in schema.OPPONENT_ROLLING if name in df.columns],
-    )
-
-
 def attach_opponent(df: DataFrame) -> DataFrame:
     """Each home row with the away row of its game and the reverse.
 
-    The flipped venue flag is a third equi-key, so one join gives both views and no union is needed.
-    Games without both sides drop out; ``unpaired_games`` counts them.
+    The rows of a game, one a team and so few, meet in one shuffle; ``df`` is computed once. Games without both sides
+    drop out; ``unpaired_games`` counts them.
     """
-    joined = df.join(opponent_view(df), ["GAME_ID", "SEASON", "HOME"], "inner")
-    return joined.withColumn("WIN", F.col("TEAM_WIN"))
+    row = F.struct(*df.columns)
+    games = df.where("GAME_ID IS NOT NULL AND SEASON IS NOT NULL").groupBy("GAME_ID", "SEASON").agg(
+        F.collect_list(F.when(F.col("HOME") == 1, row)).alias("home"), F.collect_list(F.when(F.col("HOME") == 0, row)).alias("away")
+    )
+    pairs = games.select(F.explode("home").alias("home"), "away").select("home", F.explode("away").alias("away"))
+    view = lambda mine, other: F.struct(F.col(mine).alias("mine"), F.col(other).alias("other"))
+    both = pairs.select(F.explode(F.array(view("home", "away"), view("away", "home"))).alias("v")).select("v.*")
+    return both.select(
+        "mine.*",
+        *[F.col(f"other.{name}").alias(f"OPP_{name}") for name in OPPONENT_COLUMNS if name in df.columns],
+        F.col("mine.TEAM_WIN").alias("WIN"),
+    )
 
 
 def unpaired_games(df: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from tipoff import schema
 from tipoff.operators.games import canonicalize_games
 from tipoff.operators.ordered import choose_strategy
 from tipoff.operators.team_features import add_pair_history, add_team_history, attach_opponent
-from tipoff.scratch import stage
 
 
 def build_history(
@@ -19,7 +18,6 @@ def build_history(
     rest: bool = True,
     venue_aware: bool = True,
     strategy: str = "auto",
-    stage_rolling: bool | None = None,
     **options,
 ) -> DataFrame:
     """Team game history: rolling form, opponent form and head-to-head record.
@@ -28,17 +26,13 @@ def build_history(
     season are the same as in a full build, and only its partition is read.
 
     The largest team season is measured once, on the two key columns before the dedup, which bounds
-    every later group from above. The pairing joins the rolled frame to itself; a lazy plan rolls
-    twice, so above the bound the rolled frame is written once and the written table is joined.
+    every later group from above. The pairing brings the rows of a game together in one shuffle, so silver is
+    scanned and rolled once.
     """
     games = silver if season is None else silver.where(F.col("SEASON") == season)
     if strategy == "auto":
         strategy = choose_strategy(canonicalize_games(games, unique=True), schema.TEAM_KEY)
-    if stage_rolling is None:
-        stage_rolling = strategy == "chunked"
     rolled = add_team_history(canonicalize_games(games, unique=unique), rest=rest, strategy=strategy, **options)
-    if stage_rolling:
-        rolled = stage(rolled, "rolled")
     history = add_pair_history(attach_opponent(rolled), venue_aware=venue_aware, strategy=strategy, **options)
     return history.select(*schema.HISTORY_COLUMNS, *(schema.REST_COLUMNS if rest else []))
 

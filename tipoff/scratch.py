@@ -33,12 +33,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tipoff/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in partitions of column ``by`` if named, and read it back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.mode("errorifexists").parquet(path)
+    else:
+        # few, even files a partition; a hot one is split
+        df.hint("rebalance", by).write.mode("errorifexists").partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def drop_staged(spark: SparkSession) -> None:

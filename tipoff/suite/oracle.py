@@ -13,41 +13,43 @@ SQL: dict[str, str] = {}
 # common table expressions by name, each written over earlier ones
 CTES: dict[str, str] = {
     "perf": """
-  SELECT l.l_orderkey AS gk, s.s_nationkey AS tk, n.n_name AS nm, CAST(o.o_orderdate AS DATE) AS gd,
-         l.l_linenumber AS ln, l.l_partkey AS pk, l.l_suppkey AS sk, l.l_extendedprice AS price,
-         l.l_quantity AS qty, l.l_discount AS disc, l.l_tax AS tax, p.p_size AS psize,
-         ROW_NUMBER() OVER (PARTITION BY l.l_orderkey, s.s_nationkey
-           ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice, l.l_quantity, l.l_discount) AS rn
+  SELECT l.l_orderkey AS gk, s.s_nationkey AS tk, MIN(l.l_linenumber) AS ln,
+         ROUND(SUM(l.l_extendedprice), 2) AS price,
+         SUM(CASE WHEN l.l_discount = 0 THEN 0 ELSE FLOOR(l.l_quantity * (1 - l.l_discount)) END) AS fgm,
+         SUM(CASE WHEN l.l_discount = 0 THEN 0 ELSE l.l_quantity END) AS fga,
+         SUM(CASE WHEN l.l_discount = 0 THEN 0 ELSE FLOOR(l.l_quantity * l.l_discount * 2) END) AS fg3m,
+         FLOOR(SUM(l.l_quantity) / 2) AS fg3a, MAX(l.l_discount) AS disc, MAX(l.l_tax) AS tax,
+         SUM(l.l_linenumber) AS lines, SUM(l.l_linenumber + 2) AS lines2, SUM(p.p_size) AS psize,
+         SUM(l.l_partkey % 31) AS ast, SUM(l.l_suppkey % 12) AS stl, SUM(l.l_partkey % 7) AS blk, SUM(l.l_partkey % 5) AS tov
   FROM lineitem l
   JOIN supplier s ON s.s_suppkey = l.l_suppkey
-  JOIN nation n ON n.n_nationkey = s.s_nationkey
-  JOIN orders o ON o.o_orderkey = l.l_orderkey
-  JOIN part p ON p.p_partkey = l.l_partkey""",
+  JOIN part p ON p.p_partkey = l.l_partkey
+  GROUP BY l.l_orderkey, s.s_nationkey""",
     "ranked": """
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY gk ORDER BY ln, tk) AS rk,
-         CASE WHEN MONTH(gd) < 10 THEN YEAR(gd) - 1 ELSE YEAR(gd) END AS sy,
+  SELECT f.*, n.n_name AS nm, CAST(o.o_orderdate AS DATE) AS gd,
+         ROW_NUMBER() OVER (PARTITION BY gk ORDER BY ln, tk) AS rk,
+         CASE WHEN MONTH(o.o_orderdate) < 10 THEN YEAR(o.o_orderdate) - 1 ELSE YEAR(o.o_orderdate) END AS sy,
          'N' || LPAD(CAST(tk AS VARCHAR), 2, '0') AS abbr
-  FROM perf WHERE rn = 1""",
+  FROM perf f
+  JOIN nation n ON n.n_nationkey = f.tk
+  JOIN orders o ON o.o_orderkey = f.gk""",
     "team_games": """
-  SELECT LPAD(CAST(a.gk AS VARCHAR), 10, '0') AS GAME_ID, a.gd AS GAME_DATE,
+  SELECT printf('%010d', CAST(a.gk AS BIGINT) * 100 + GREATEST(a.rk, b.rk)) AS GAME_ID, a.gd AS GAME_DATE,
          CAST(a.sy AS VARCHAR) || '-' || LPAD(CAST((a.sy + 1) % 100 AS VARCHAR), 2, '0') AS SEASON,
          CAST(a.tk AS VARCHAR) AS TEAM_ID, a.abbr AS TEAM_ABBREVIATION, a.nm AS TEAM_NAME,
          a.abbr || CASE WHEN a.rk = 1 THEN ' vs. ' ELSE ' @ ' END || b.abbr AS MATCHUP,
          CASE WHEN a.price > b.price OR (a.price = b.price AND a.rk = 1) THEN 'W' ELSE 'L' END AS WL,
-         a.price AS PTS,
-         CASE WHEN a.disc = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(FLOOR(a.qty * (1 - a.disc)) AS DOUBLE) END AS FGM,
-         CASE WHEN a.disc = 0 THEN CAST(0 AS DOUBLE) ELSE a.qty END AS FGA,
-         CASE WHEN a.disc = 0 THEN CAST(NULL AS DOUBLE) ELSE ROUND(FLOOR(a.qty * (1 - a.disc)) / a.qty, 3) END AS FG_PCT,
-         CASE WHEN a.disc = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(FLOOR(a.qty * a.disc * 2) AS DOUBLE) END AS FG3M,
-         CAST(FLOOR(a.qty / 2) AS DOUBLE) AS FG3A, a.disc AS FG3_PCT,
-         CAST(a.ln AS DOUBLE) AS FTM, CAST(a.ln + 2 AS DOUBLE) AS FTA, a.tax AS FT_PCT,
-         CAST(a.ln AS DOUBLE) AS OREB, CAST(a.psize AS DOUBLE) AS DREB, CAST(a.ln + a.psize AS DOUBLE) AS REB,
-         CAST(a.pk % 31 AS DOUBLE) AS AST, CAST(a.sk % 12 AS DOUBLE) AS STL,
-         CAST(a.pk % 7 AS DOUBLE) AS BLK, CAST(a.pk % 5 AS DOUBLE) AS TOV,
+         CAST(a.price AS DOUBLE) AS PTS, CAST(a.fgm AS DOUBLE) AS FGM, CAST(a.fga AS DOUBLE) AS FGA,
+         CASE WHEN a.fga <> 0 THEN CAST(a.fgm AS DOUBLE) / CAST(a.fga AS DOUBLE) END AS FG_PCT,
+         CAST(a.fg3m AS DOUBLE) AS FG3M, CAST(a.fg3a AS DOUBLE) AS FG3A, CAST(a.disc AS DOUBLE) AS FG3_PCT,
+         CAST(a.lines AS DOUBLE) AS FTM, CAST(a.lines2 AS DOUBLE) AS FTA, CAST(a.tax AS DOUBLE) AS FT_PCT,
+         CAST(a.lines AS DOUBLE) AS OREB, CAST(a.psize AS DOUBLE) AS DREB, CAST(a.lines + a.psize AS DOUBLE) AS REB,
+         CAST(a.ast AS DOUBLE) AS AST, CAST(a.stl AS DOUBLE) AS STL,
+         CAST(a.blk AS DOUBLE) AS BLK, CAST(a.tov AS DOUBLE) AS TOV,
          ROUND(a.price - b.price, 2) AS PLUS_MINUS,
          CASE WHEN MONTH(a.gd) IN (4, 5, 6) THEN 'Playoffs' ELSE 'Regular Season' END AS season_type,
          CAST(a.gd AS VARCHAR) AS INGEST_DATE
-  FROM ranked a JOIN ranked b ON a.gk = b.gk AND a.rk <= 2 AND b.rk <= 2 AND a.rk <> b.rk""",
+  FROM ranked a JOIN ranked b ON a.gk = b.gk AND a.rk <> b.rk AND (a.rk = 1 OR b.rk = 1)""",
     "raw": """
   SELECT * FROM team_games
   UNION ALL
@@ -188,7 +190,7 @@ CTES: dict[str, str] = {
     "players": """
   SELECT CAST(season AS INTEGER) AS season, player_id, team, CAST(g AS BIGINT) AS g FROM players_raw
   UNION ALL
-  SELECT CAST(season AS INTEGER), player_id, CAST(LEAST(4, COUNT(*)) AS VARCHAR) || 'TM', CAST(SUM(g) AS BIGINT)
+  SELECT CAST(season AS INTEGER), player_id, CAST(COUNT(*) AS VARCHAR) || 'TM', CAST(SUM(g) AS BIGINT)
   FROM players_raw GROUP BY season, player_id HAVING COUNT(*) >= 2""",
     "flagged_players": """
   SELECT p.*, CAST(CASE WHEN EXISTS (SELECT 1 FROM players m WHERE m.season = p.season AND m.player_id = p.player_id
@@ -309,7 +311,7 @@ def sql(text: str, **replaced: str) -> str:
     if not needed:
         return text
     head = "WITH RECURSIVE " if RECURSIVE & set(needed) else "WITH "
-    shared = {"history", "canonical", "team_games", "flagged", "value_rows", "timed"}
+    shared = {"ranked", "history", "canonical", "team_games", "flagged", "value_rows", "timed"}
     parts = [f"{n} AS {'MATERIALIZED ' if n in shared else ''}({ctes[n]})" for n in needed]
     return head + ",\n".join(parts) + "\n" + text
 
@@ -397,7 +399,7 @@ SQL["offline_features"] = sql(
     f"{imputed(schema.IMPUTED_FEATURES)} FROM history h LEFT JOIN ids i ON i.GAME_ID = h.GAME_ID"
 )
 SQL["training_order"] = sql(
-    f"SELECT GAME_DATE, {K}, WIN FROM history ORDER BY GAME_DATE, GAME_ID, TEAM_ID"
+    f"SELECT GAME_DATE, {K}, WIN, ROW_NUMBER() OVER (ORDER BY GAME_DATE, GAME_ID, TEAM_ID) AS place FROM history"
 )
 SQL["build_matrix_columns"] = sql(f"SELECT {K}, {FEATURES}, WIN FROM history")
 
@@ -471,7 +473,8 @@ SQL["numeric_coercion"] = "SELECT event_id, ROUND(value, 6) AS value FROM events
 SQL["cast_by_map"] = sql("SELECT * FROM teams_typed")
 SQL["team_season_gold"] = sql("SELECT * FROM teams_typed WHERE season = 2020")
 SQL["player_season_gold"] = sql(
-    "SELECT *, CAST(1 AS INTEGER) AS team_count FROM flagged_players WHERE team NOT IN ('2TM', '3TM', '4TM')"
+    "SELECT *, CAST(1 AS INTEGER) AS team_count FROM flagged_players "
+    f"WHERE team NOT IN ('2TM', '3TM', '4TM') AND team IN {(*schema.TEAM_CODES, 'MULTI')}"
 )
 SQL["multi_team_flag"] = sql("SELECT * FROM flagged_players")
 SQL["distinct_teams"] = sql("SELECT DISTINCT TEAM_ID, TEAM_NAME FROM silver")
@@ -479,7 +482,7 @@ SQL["row_counts"] = sql(
     "SELECT 'silver' AS name, COUNT(*) AS rows FROM silver UNION ALL SELECT 'history', COUNT(*) FROM history "
     "UNION ALL SELECT 'raw', COUNT(*) FROM raw"
 )
-SQL["preview"] = sql(f"SELECT {K}, GAME_DATE, PTS FROM silver ORDER BY GAME_DATE, GAME_ID, TEAM_ID LIMIT 20")
+SQL["preview"] = sql(f"SELECT {K}, GAME_DATE, PTS, ROW_NUMBER() OVER (ORDER BY GAME_DATE, GAME_ID, TEAM_ID) AS place FROM silver QUALIFY place <= 20")
 SQL["split_chronological"] = sql("SELECT GAME_ID, first_date, game_rank, split FROM date_split")
 SQL["split_in_season"] = sql("SELECT SEASON, GAME_ID, game_rank, split FROM season_split")
 SQL["split_summary"] = sql(
@@ -570,9 +573,9 @@ SQL["stream_snapshots"] = sql(
     f"SELECT {_SNAP}, FINAL_WIN_HOME FROM snaps"
 )
 SQL["snapshot_pregame"] = sql(
-    "SELECT LPAD(s.GAME_ID, 10, '0') AS GAME_ID, ACTION_NUMBER, PERIOD, TIME_REMAINING, CURRENT_SCORE_DIFF, CURRENT_FG_DIFF, "
+    "SELECT LPAD(s.GAME_ID || '02', 10, '0') AS GAME_ID, ACTION_NUMBER, PERIOD, TIME_REMAINING, CURRENT_SCORE_DIFF, CURRENT_FG_DIFF, "
     f"s.HOME AS HOME, FINAL_WIN_HOME, {r('ROLL_WIN_PCT_10', 'ROLL_FG_PCT_10', 'ROLL_EFG_PCT_10', 'OPP_ROLL_WIN_PCT_10')}, REST_DAYS, BACK_TO_BACK "
-    "FROM snaps s LEFT JOIN history h ON h.GAME_ID = LPAD(s.GAME_ID, 10, '0') AND h.HOME = 1"
+    "FROM snaps s LEFT JOIN history h ON h.GAME_ID = LPAD(s.GAME_ID || '02', 10, '0') AND h.HOME = 1"
 )
 SQL["games_board"] = sql(
     'SELECT g."gameId" AS "gameId", COALESCE(CASE WHEN ok THEN a.tri ELSE f.tri END, g.away) || \' @ \' || COALESCE(CASE WHEN ok THEN h.tri ELSE s.tri END, g.home) AS matchup, '

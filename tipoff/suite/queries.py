@@ -13,6 +13,7 @@ from tipoff import schema
 from tipoff.functions import exprs as X
 from tipoff.operators import board, drift, games, impute, metrics, quality, runs, seasons, snapshots, splits, trials
 from tipoff.operators import team_features as tf
+from tipoff.operators.ordered import ordinal
 from tipoff.plans import daily, history, offline, predict, training
 from tipoff.scratch import fresh_path, stage
 from tipoff.sources import tables
@@ -41,6 +42,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``place``: the position of each row in the order that ``df`` has."""
+    return ordinal(df.withColumn("_at", F.monotonically_increasing_id()), [], ["_at"], "place").drop("_at")
+
+
 def long_counts(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -180,7 +186,7 @@ def offline_features(spark, sf):
 @query
 def training_order(spark, sf):
     rows = games.stack(fx.history(spark, sf).select("GAME_DATE", *KEY, "WIN"))
-    return offline.training_order(rows)
+    return numbered(offline.training_order(rows))
 
 
 @query
@@ -463,7 +469,8 @@ def row_counts(spark, sf):
 
 @query
 def preview(spark, sf):
-    return fx.silver(spark, sf).select(*KEY, "GAME_DATE", "PTS").orderBy(*schema.GAME_ORDER, "TEAM_ID").limit(20)
+    rows = fx.silver(spark, sf).select(*KEY, "GAME_DATE", "PTS")
+    return numbered(rows.orderBy(*schema.GAME_ORDER, "TEAM_ID").limit(20))
 
 
 # ---- splits --------------------------------------------------------------------------------
@@ -617,9 +624,9 @@ def game_snapshots(spark, sf):
 
 @query
 def snapshot_pregame(spark, sf):
-    """Each past game gets the play-by-play of the user whose number it ends on."""
+    """The first game of an order gets the play-by-play of the user of the order's number."""
     taken = snapshots.game_snapshots(fx.play_by_play(spark, sf))
-    named = taken.withColumn("GAME_ID", F.lpad("GAME_ID", 10, "0"))
+    named = taken.withColumn("GAME_ID", F.lpad(F.concat("GAME_ID", F.lit("02")), 10, "0"))
     return rounded(snapshots.attach_pregame(named, fx.history(spark, sf)))
 
 
