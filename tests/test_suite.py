@@ -11,7 +11,7 @@ from tipoff.suite.queries import REGISTRY
 DIR = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="test tables are not here")
-ROWS_ONLY = {"fit_and_score", "feature_importance", "predict_matchups", "tune_trials", "retrain"}
+ROWS_ONLY = {"fit_and_score", "feature_importance", "predict_matchups"}
 
 
 @pytest.fixture(scope="module")

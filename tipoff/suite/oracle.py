@@ -5,11 +5,62 @@ from __future__ import annotations
 import math
 
 from tipoff import schema
-from tipoff.operators.trials import SPACE
-from tipoff.suite.queries import KEY, OPP_ROLL, ROLL_BOX, ROLL_WIN
 
 SQL: dict[str, str] = {}
 
+# ---- fixed values, written out anew: an edit of the library's own lists must show as a difference
+KEY = ["SEASON", "GAME_ID", "TEAM_ID"]
+BOX_SCORE = [
+    "PTS", "FGM", "FGA", "FG_PCT", "FG3M", "FG3A", "FG3_PCT", "FTM", "FTA", "FT_PCT",
+    "OREB", "DREB", "REB", "AST", "STL", "BLK", "TOV", "PLUS_MINUS",
+]
+ROLL_WIN = ["ROLL_WIN_PCT_5", "ROLL_WIN_PCT_10", "TEAM_SEASON_WIN_PCT"]
+ROLL_BOX = [
+    "ROLL_FG_PCT_10", "ROLL_EFG_PCT_10", "ROLL_AST_TO_RATIO_10", "ROLL_REB_10", "ROLL_STL_10", "ROLL_BLK_10", "ROLL_TOV_10",
+]
+ROLLED = """AVG("TEAM_WIN") OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ROLL_WIN_PCT_5,
+         AVG("TEAM_WIN") OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ROLL_WIN_PCT_10,
+         AVG("TEAM_WIN") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS TEAM_SEASON_WIN_PCT,
+         AVG("FG_PCT") OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ROLL_FG_PCT_10,
+         AVG("eFG_PCT") OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ROLL_EFG_PCT_10,
+         AVG("AST_TO_RATIO") OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ROLL_AST_TO_RATIO_10,
+         AVG("REB") OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ROLL_REB_10,
+         AVG("STL") OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ROLL_STL_10,
+         AVG("BLK") OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ROLL_BLK_10,
+         AVG("TOV") OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ROLL_TOV_10"""
+# the newest game counts in a team's next one
+ROLLED_NEXT = """ROUND(AVG("TEAM_WIN") OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS ROLL_WIN_PCT_5,
+         ROUND(AVG("TEAM_WIN") OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS ROLL_WIN_PCT_10,
+         ROUND(AVG("FG_PCT") OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS ROLL_FG_PCT_10,
+         ROUND(AVG("eFG_PCT") OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS ROLL_EFG_PCT_10,
+         ROUND(AVG("AST_TO_RATIO") OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS ROLL_AST_TO_RATIO_10,
+         ROUND(AVG("REB") OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS ROLL_REB_10,
+         ROUND(AVG("STL") OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS ROLL_STL_10,
+         ROUND(AVG("BLK") OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS ROLL_BLK_10,
+         ROUND(AVG("TOV") OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS ROLL_TOV_10"""
+OPPONENT_ROLL = [
+    "ROLL_WIN_PCT_10", "ROLL_FG_PCT_10", "ROLL_REB_10", "ROLL_STL_10", "ROLL_BLK_10", "ROLL_TOV_10",
+]
+OPP_ROLL = [
+    "OPP_ROLL_WIN_PCT_10", "OPP_ROLL_FG_PCT_10", "OPP_ROLL_REB_10", "OPP_ROLL_STL_10", "OPP_ROLL_BLK_10", "OPP_ROLL_TOV_10",
+]
+PAIR = "TEAM_VS_OPP_SEASON_WIN_PCT"
+MODEL_FEATURES = [
+    "HOME", "REST_DAYS", "BACK_TO_BACK",
+    "ROLL_WIN_PCT_5", "ROLL_WIN_PCT_10", "ROLL_FG_PCT_10", "ROLL_EFG_PCT_10", "ROLL_AST_TO_RATIO_10",
+    "ROLL_REB_10", "ROLL_STL_10", "ROLL_BLK_10", "ROLL_TOV_10",
+    "OPP_ROLL_WIN_PCT_10", "OPP_ROLL_FG_PCT_10", "OPP_ROLL_REB_10", "OPP_ROLL_STL_10", "OPP_ROLL_BLK_10", "OPP_ROLL_TOV_10",
+    "TEAM_VS_OPP_SEASON_WIN_PCT",
+]
+SPACE = {
+    "n_estimators": (100, 1000, "int"),
+    "learning_rate": (0.01, 0.1, "log"),
+    "max_depth": (3, 10, "int"),
+    "min_child_weight": (1, 10, "int"),
+    "subsample": (0.5, 1.0, "float"),
+    "colsample_bytree": (0.5, 1.0, "float"),
+}
+
 # common table expressions by name, each written over earlier ones
 CTES: dict[str, str] = {
     "perf": """
@@ -247,21 +298,14 @@ CTES: dict[str, str] = {
 
 
 def fill() -> None:
-    def frame(rows: int | None) -> str:
-        start = "UNBOUNDED" if rows is None else rows
-        return f"ROWS BETWEEN {start} PRECEDING AND 1 PRECEDING"
-
-    windows = ",\n         ".join(
-        f'AVG("{column}") OVER (w {frame(rows)}) AS {name}' for name, (column, rows) in schema.ROLLING.items()
-    )
-    box = ", ".join(schema.BOX_SCORE)
+    box = ", ".join(BOX_SCORE)
     CTES["canonical"] = CTES["canonical"].format(box=box, source="silver")
-    CTES["rolled"] = CTES["rolled"].format(windows=windows)
-    CTES["history"] = CTES["history"].format(opp=", ".join(f"o.{n} AS OPP_{n}" for n in schema.OPPONENT_ROLLING))
+    CTES["rolled"] = CTES["rolled"].format(windows=ROLLED)
+    CTES["history"] = CTES["history"].format(opp=", ".join(f"o.{n} AS OPP_{n}" for n in OPPONENT_ROLL))
     CTES["pairs"] = "\n  UNION ALL ".join(
-        f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, recent FROM flagged" for f in schema.FEATURES
+        f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, recent FROM flagged" for f in MODEL_FEATURES
     )
-    CTES["drift"] = CTES["drift"].format(features=str(schema.FEATURES))
+    CTES["drift"] = CTES["drift"].format(features=str(MODEL_FEATURES))
     CTES["recent_metrics"] = CTES["metric_rows"].format(scored="recent_scored")
     CTES["metric_rows"] = CTES["metric_rows"].format(scored="scored")
     CTES["players_raw"] = CTES["players_raw"].format(codes=str(schema.TEAM_CODES))
@@ -280,7 +324,7 @@ def fill() -> None:
     CTES["teams_typed"] = CTES["teams_typed"].format(columns=", ".join(typed))
     home = [n for n in schema.SNAPSHOT_COLUMNS if n.startswith("ROLL_")]
     CTES["built"] = CTES["built"].format(
-        home=", ".join(f"h.{n}" for n in home), away=", ".join(f"a.{n} AS OPP_{n}" for n in schema.OPPONENT_ROLLING)
+        home=", ".join(f"h.{n}" for n in home), away=", ".join(f"a.{n} AS OPP_{n}" for n in OPPONENT_ROLL)
     )
 
 
@@ -325,13 +369,13 @@ def cols(*names: str, prefix: str = "") -> str:
 
 
 K = cols(*KEY)
-RATES = [*schema.ROLLING, *OPP_ROLL, schema.PAIR_WIN_PCT]
+RATES = [*ROLL_WIN, *ROLL_BOX, *OPP_ROLL, PAIR]
 HISTORY = ", ".join(
-    f'ROUND("{c}", 6) AS "{c}"' if c in (*RATES, *schema.BOX_SCORE, "eFG_PCT", "AST_TO_RATIO") else f'"{c}"'
+    f'ROUND("{c}", 6) AS "{c}"' if c in (*RATES, *BOX_SCORE, "eFG_PCT", "AST_TO_RATIO") else f'"{c}"'
     for c in [*schema.HISTORY_COLUMNS, *schema.REST_COLUMNS]
 )
 FEATURES = ", ".join(
-    f'ROUND(COALESCE(CAST("{c}" AS DOUBLE), 0), 6) AS "{c}"' for c in schema.FEATURES
+    f'ROUND(COALESCE(CAST("{c}" AS DOUBLE), 0), 6) AS "{c}"' for c in MODEL_FEATURES
 )
 SNAP_RATES = [c for c in schema.SNAPSHOT_COLUMNS if c.startswith("ROLL_")]
 SNAP_PLAIN = [c for c in schema.SNAPSHOT_COLUMNS if not c.startswith("ROLL_")]
@@ -344,7 +388,7 @@ def imputed(columns: list[str]) -> str:
 
 
 SQL["canonical_games"] = sql(
-    f'SELECT GAME_ID, GAME_DATE, SEASON, TEAM_ID, TEAM_ABBREVIATION, TEAM_NAME, MATCHUP, WL, {r(*schema.BOX_SCORE)}, '
+    f'SELECT GAME_ID, GAME_DATE, SEASON, TEAM_ID, TEAM_ABBREVIATION, TEAM_NAME, MATCHUP, WL, {r(*BOX_SCORE)}, '
     f'LAST_GAME_DATE, HOME, TEAM_WIN, {r("eFG_PCT", "AST_TO_RATIO")} FROM canonical'
 )
 SQL["silver_clean"] = sql(f"SELECT {K}, GAME_DATE, PTS, HOME, TEAM_WIN, season_type, INGEST_DATE FROM silver")
@@ -364,10 +408,10 @@ SQL["rest_days"] = sql(f"SELECT {K}, GAME_DATE, REST_DAYS, BACK_TO_BACK FROM rol
 SQL["opponent_features"] = sql(
     f"SELECT {K}, HOME, OPP_TEAM_ID, OPP_TEAM_NAME, OPP_TEAM_WIN, WIN, {r(*OPP_ROLL)} FROM history"
 )
-SQL["pair_history_venue"] = sql(f"SELECT {K}, OPP_TEAM_ID, HOME, {r(schema.PAIR_WIN_PCT)} FROM history")
+SQL["pair_history_venue"] = sql(f"SELECT {K}, OPP_TEAM_ID, HOME, {r(PAIR)} FROM history")
 SQL["pair_history_all"] = sql(
     f"SELECT {K}, OPP_TEAM_ID, ROUND(AVG(TEAM_WIN) OVER (PARTITION BY SEASON, TEAM_ID, OPP_TEAM_ID ORDER BY GAME_DATE, GAME_ID "
-    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS {schema.PAIR_WIN_PCT} FROM history"
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS {PAIR} FROM history"
 )
 SQL["unpaired_games"] = sql(
     "SELECT 'no_home_row' AS reason, COUNT(*) AS games FROM (SELECT GAME_ID FROM canonical "
@@ -378,10 +422,7 @@ SQL["season_pruned_history"] = sql(f"SELECT {HISTORY} FROM history WHERE SEASON
 SQL["latest_snapshot"] = sql(f"SELECT {cols(*SNAP_PLAIN)}, {r(*SNAP_RATES)} FROM snapshot")
 SQL["next_game_snapshot"] = sql(
     f"SELECT {cols(*SNAP_PLAIN)}, {cols(*SNAP_RATES)} FROM (SELECT {cols(*SNAP_PLAIN)}, "
-    + ", ".join(
-        f'ROUND(AVG("{c}") OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS {name}'
-        for name, (c, n) in schema.ROLLING.items() if n
-    )
+    + ROLLED_NEXT
     + ", ROW_NUMBER() OVER (PARTITION BY TEAM_ID ORDER BY GAME_DATE DESC, GAME_ID DESC) AS rn FROM canonical "
     "WHERE SEASON = (SELECT SEASON FROM canonical ORDER BY GAME_DATE DESC, GAME_ID DESC LIMIT 1) "
     "WINDOW w AS (PARTITION BY TEAM_ID ORDER BY GAME_DATE, GAME_ID)) WHERE rn = 1"
@@ -389,14 +430,14 @@ SQL["next_game_snapshot"] = sql(
 SQL["latest_season"] = sql("SELECT SEASON FROM latest_season")
 SQL["pair_winpct_lookup"] = sql('SELECT SEASON, team_id, opp_id, team_name, opp_name, ROUND("winPCT", 6) AS "winPCT" FROM lookup')
 SQL["home_away_ids"] = sql(f"SELECT {cols(*KEY, prefix='c.')}, HOME_ID, AWAY_ID FROM canonical c LEFT JOIN ids i ON i.GAME_ID = c.GAME_ID")
-SQL["impute_season_mean"] = sql(f"SELECT {K}, {imputed(schema.IMPUTED_FEATURES)} FROM history")
+SQL["impute_season_mean"] = sql(f"SELECT {K}, {imputed(MODEL_FEATURES[3:])} FROM history")
 SQL["impute_global_mean"] = sql(
     f"SELECT {K}, ROUND(COALESCE(REST_DAYS, (SELECT AVG(REST_DAYS) FROM history)), 6) AS REST_DAYS FROM history"
 )
 SQL["offline_features"] = sql(
     "SELECT GAME_DATE, SEASON, h.GAME_ID AS GAME_ID, TEAM_ABBREVIATION, MATCHUP, WIN, HOME_ID, AWAY_ID, HOME, "
     "ROUND(COALESCE(REST_DAYS, (SELECT AVG(REST_DAYS) FROM history)), 6) AS REST_DAYS, BACK_TO_BACK, "
-    f"{imputed(schema.IMPUTED_FEATURES)} FROM history h LEFT JOIN ids i ON i.GAME_ID = h.GAME_ID"
+    f"{imputed(MODEL_FEATURES[3:])} FROM history h LEFT JOIN ids i ON i.GAME_ID = h.GAME_ID"
 )
 SQL["training_order"] = sql(
     f"SELECT GAME_DATE, {K}, WIN, ROW_NUMBER() OVER (ORDER BY GAME_DATE, GAME_ID, TEAM_ID) AS place FROM history"
@@ -524,11 +565,12 @@ SQL["recency_split"] = sql(
 )
 SQL["quantile_edges"] = sql("SELECT feature, ref_rows, position, ROUND(edge, 6) AS edge FROM edges")
 SQL["psi_by_feature"] = sql("SELECT feature, ROUND(psi, 6) AS psi FROM drift")
+SQL["checked_drift"] = SQL["psi_by_feature"]
 SQL["average_psi"] = sql("SELECT ROUND(AVG(psi), 6) AS average_psi FROM drift")
 SQL["psi_event_values"] = sql(
     "SELECT feature, ROUND(psi, 6) AS psi FROM drift",
     pairs="SELECT 'value' AS feature, value, CAST(ts AS DATE) >= (SELECT MAX(CAST(ts AS DATE)) FROM events) - 7 AS recent FROM events",
-    drift=CTES["drift"].replace(str(schema.FEATURES), "['value']"),
+    drift=CTES["drift"].replace(str(MODEL_FEATURES), "['value']"),
 )
 SQL["health_report"] = sql(
     "SELECT reasons <> '' AS should_retrain, reasons, ROUND(average_psi, 6) AS average_psi, ROUND(ma, 6) AS recent_accuracy, ROUND(ml, 6) AS recent_log_loss, "
@@ -594,7 +636,7 @@ SQL["lookup_pair"] = sql(
     "LEFT JOIN newest_pairs w ON w.team_id = p.home_team_id AND w.opp_id = p.away_team_id"
 )
 _MATCH = "game_id, home_team_id, away_team_id, home_team_abbr, away_team_abbr, error"
-SQL["matchup_features"] = sql(f"SELECT {_MATCH}, game_date, {r(*schema.FEATURES)} FROM built")
+SQL["matchup_features"] = sql(f"SELECT {_MATCH}, game_date, {r(*MODEL_FEATURES)} FROM built")
 SQL["matchup_winners"] = sql(
     "SELECT game_id, home_team_id, away_team_id, CASE WHEN p >= 0.5 THEN home_team_id WHEN p < 0.5 THEN away_team_id END AS predicted_winner_id, "
     "home_team_abbr, away_team_abbr, CASE WHEN p >= 0.5 THEN home_team_abbr WHEN p < 0.5 THEN away_team_abbr END AS predicted_winner_abbr, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +28,9 @@ ROLL_WIN = ["ROLL_WIN_PCT_5", "ROLL_WIN_PCT_10", "TEAM_SEASON_WIN_PCT"]
 ROLL_BOX = [name for name in schema.ROLLING if name not in ROLL_WIN]
 OPP_ROLL = [f"OPP_{name}" for name in schema.OPPONENT_ROLLING]
 KEY = ["SEASON", *schema.GAME_KEY]
-LIGHT_MODEL = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.1}
-LIGHT_SPACE = {**trials.SPACE, "n_estimators": (4, 8, "int"), "max_depth": (2, 4, "int")}
+# the model of the queries: the library's defaults but for the trees, the fewest of the search space, on about so many rows
+QUERY_MODEL = {"n_estimators": trials.SPACE["n_estimators"][0]}
+QUERY_FIT_ROWS = 20_000
 
 
 def query(fn: Query) -> Query:
@@ -462,9 +463,14 @@ def distinct_teams(spark, sf):
 
 @query
 def row_counts(spark, sf):
-    named = {"silver": fx.silver(spark, sf), "history": fx.history(spark, sf), "raw": fx.team_games_raw(spark, sf)}
-    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in named.items()]
-    return games.stack(*counts)
+    """Rows of three tables, observed while they are written."""
+    store = TableStore(spark, fresh_path(spark, "counted"))
+    found = []
+    for name, df in {"silver": fx.silver(spark, sf), "history": fx.history(spark, sf), "raw": fx.team_games_raw(spark, sf)}.items():
+        rows, observed = tables.counted(df, name)
+        store.write_full(rows, name)
+        found.append((name, observed.get["rows"]))
+    return spark.createDataFrame(found, "name string, rows long")
 
 
 @query
@@ -666,14 +672,12 @@ def matchup_winners(spark, sf):
 _MODELS: dict = {}
 
 
-def model_and_test(spark, sf) -> tuple[GBTClassificationModel, DataFrame]:
+def model_and_test(spark, sf) -> tuple[PipelineModel, DataFrame]:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         rows = fx.staged(spark, sf, "training-rows", lambda: training.load_training_rows(fx.history(spark, sf)))
         parts = splits.split_frames(rows, splits.chronological_assignment(rows))
-        model = training.fit_classifier(
-            training.assemble(parts["train"].unionByName(parts["validation"])), LIGHT_MODEL
-        )
+        model = training.fit_classifier(parts["train"].unionByName(parts["validation"]), QUERY_MODEL, max_rows=QUERY_FIT_ROWS)
         _MODELS[key] = (model, parts["test"])
     return _MODELS[key]
 
@@ -697,7 +701,7 @@ def predict_matchups(spark, sf):
 @query
 def model_roundtrip(spark, sf):
     model, test = model_and_test(spark, sf)
-    loaded = GBTClassificationModel.load(training.save_model(model, fresh_path(spark, "model")))
+    loaded = PipelineModel.load(training.save_model(model, fresh_path(spark, "model")))
     before = training.score(test, model).select(*schema.GAME_KEY, F.col("p").alias("p_before"))
     after = training.score(test, loaded).select(*schema.GAME_KEY, F.col("p").alias("p_after"))
     return before.join(after, schema.GAME_KEY).agg(
@@ -706,19 +710,13 @@ def model_roundtrip(spark, sf):
 
 
 @query
-def tune_trials(spark, sf):
-    rows = fx.staged(spark, sf, "training-rows", lambda: training.load_training_rows(fx.history(spark, sf)))
-    parts = splits.split_frames(rows, splits.chronological_assignment(rows))
-    return training.tune(parts["train"], parts["validation"], n_trials=2, space=LIGHT_SPACE)
-
-
-@query
-def retrain(spark, sf):
-    """Train, then a health check that retrains when the report says so."""
+def checked_drift(spark, sf):
+    """Drift per feature as the health check of a saved and promoted model reports it."""
     store = TableStore(spark, fresh_path(spark, "models"))
-    training.train_and_promote(fx.history(spark, sf), store, n_trials=1, space=LIGHT_SPACE)
-    training.retrain_if_unhealthy(fx.history(spark, sf), store, n_trials=1, space=LIGHT_SPACE)
-    return training.read_runs(store).select("run_name", "metrics", "tags")
+    path = training.save_model(model_and_test(spark, sf)[0], store.path("models/first"))
+    training.record_run(store, "first", {"model_path": path}, {}, {"promoted": "true"})
+    report = training.check_health(fx.history(spark, sf), store)
+    return rounded(report.select(F.explode("drift_by_feature").alias("feature", "psi")))
 
 
 # ---- streams ----------------------------------------------------------------------------------------
