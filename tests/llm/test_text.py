@@ -173,6 +173,27 @@ def test_html_tree_is_what_spark_predicts(spark):
     assert hit >= 0.95 * len(rows)
 
 
+def test_html_tree_uses_words_and_links_of_both_neighbours(spark):
+    used = {html_extract.FEATURES[int(k)] for k in re.findall(r"feature (\d+)", html_extract.fit(spark))}
+    assert {"words_before", "links_before", "words_after", "links_after"} <= used
+
+
+def test_html_text_outside_a_teaser_or_comment_is_kept(spark):
+    prepare(spark)
+    story = ["<p>" + " ".join(f"{w}{i}" for i in range(50)) + "</p>" for w in ("red", "blue", "green")]
+    menu = "<ul><li><a href=1>Home</a><li><a href=2>News</a></ul>"
+    teaser = menu + "".join(story) + "<article><p>Read this other thing.</article>" + menu
+    comment = "".join(story) + "<div class='comments-wrapper'><article><p>I say so too, and at length.</article></div>"
+    inside = "<article>" + "".join(story) + "<p>Share</p>" + menu + "<p>More here</p>" + menu + "</article>"
+    rows = [(1, teaser), (2, comment), (3, inside)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert all(f"{w}49" in out[k] for k in out for w in ("red", "blue", "green"))
+    assert "Home" not in out[1]
+    assert "I say so" not in out[2]
+    assert "Home" not in out[3]
+    assert "More here" not in out[3]
+
+
 def by_hand(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places = {}

@@ -25,6 +25,8 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 # Labelled blocks. article: 1 inside the page's article, 0 if the page has none, -1 outside it.
 # boxed: 1 inside a navigation, header, footer, aside or form element, or inside one whose class, id or role names
 # a menu, sidebar, notice, advert or comments.
+# Outside the article a long block of few links is wanted next to another one, a short one between two. On a page without article a
+# long one is wanted anywhere, a short one next to a long one. Inside, links in a row and labels between links are not wanted.
 # words links words_before links_before words_after links_after article boxed  wanted
 LABELLED = """
     9 0.00    0 0.00   80 0.00   1 0  1
@@ -49,22 +51,89 @@ LABELLED = """
    12 1.00   60 0.00   20 0.00   1 0  1
     8 0.80   20 0.00    1 0.00   1 0  1
    30 0.90    1 0.00    0 0.00   1 0  1
-    2 1.00    3 1.00    2 1.00   1 0  1
-    7 0.60   12 1.00   60 0.00   1 0  1
-    1 1.00    0 0.00    1 1.00  -1 1  0
-    1 1.00    1 1.00    1 1.00  -1 1  0
-    2 1.00    1 1.00   12 0.00  -1 1  0
-    8 0.10   50 0.00    0 0.00  -1 1  0
-   40 0.00   60 0.00    0 0.00  -1 1  0
-   12 0.00    2 1.00    9 0.00  -1 1  0
-    6 0.00    1 1.00   70 0.00  -1 1  0
-   35 0.05    1 1.00   14 0.00  -1 1  0
-   14 0.00   90 0.00   30 0.00  -1 1  0
-   30 0.00   14 0.00    5 0.20  -1 0  0
-    5 0.20   30 0.00    0 0.00  -1 0  0
-    3 0.00    4 1.00   11 0.00  -1 0  0
-   55 0.00    7 0.00    9 0.10  -1 0  0
-    2 1.00   80 0.00    2 1.00  -1 0  0
+    2 1.00    3 1.00    2 1.00   1 0  0
+    7 0.60   12 1.00   60 0.00   1 0  0
+    1 0.00    0 0.00    0 0.00   1 0  1
+    1 0.00    3 1.00   12 0.00   1 0  1
+    1 0.00   22 0.00   45 0.60   1 0  1
+    1 0.00   28 0.00   28 0.00   1 0  1
+    1 0.00   60 0.20    0 0.00   1 0  1
+    1 0.80    0 0.00   45 0.80   1 0  0
+    1 0.90   30 0.90    0 0.00   1 0  0
+    1 1.00    1 0.00    0 0.00   1 0  1
+    2 0.00    0 0.00   45 0.20   1 0  1
+    2 0.00    3 0.00    6 0.90   1 0  1
+    2 0.00   16 0.00    0 0.00   1 0  1
+    2 0.00   22 0.80   80 0.02   1 0  1
+    2 0.90    3 1.00   35 0.00   1 0  0
+    2 1.00    1 0.80    8 0.00   1 0  0
+    2 1.00    2 0.80    0 0.00   1 0  0
+    2 1.00   12 0.00   22 0.90   1 0  0
+    3 0.00   12 0.00   70 0.60   1 0  1
+    3 0.00   16 0.00  110 0.00   1 0  1
+    3 0.80    3 0.00   35 0.10   1 0  1
+    3 0.90    0 0.00    3 0.80   1 0  0
+    3 1.00    0 0.00    0 0.00   1 0  1
+    3 1.00    1 0.80   30 0.60   1 0  0
+    3 1.00    3 0.00    1 0.90   1 0  0
+    4 0.90   80 0.02   28 0.00   1 0  1
+    4 1.00    2 0.00    2 0.00   1 0  1
+    4 1.00   80 0.05   16 0.00   1 0  1
+    5 0.00    0 0.00    1 0.00   1 0  1
+    5 0.00    0 0.00    6 0.80   1 0  1
+    5 0.00    0 0.00   22 0.60   1 0  1
+    5 0.00    1 0.00    1 0.00   1 0  1
+    5 0.00    1 0.90   22 0.02   1 0  1
+    5 0.00   30 0.60    9 0.80   1 0  0
+    5 0.00   45 0.80   16 0.00   1 0  1
+    5 0.00   45 0.90    0 0.00   1 0  1
+    6 0.80   22 0.60    1 0.00   1 0  0
+    8 0.00    1 0.80   45 0.80   1 0  1
+    8 0.00    3 0.80    3 0.80   1 0  1
+    8 0.00   80 0.02    1 0.00   1 0  1
+    9 1.00   22 0.80   45 0.10   1 0  0
+   12 0.00    6 1.00    0 0.00   1 0  1
+   12 0.00   45 0.20    3 0.80   1 0  1
+   16 0.00   30 0.90   30 0.80   1 0  1
+   22 0.00    0 0.00   70 0.80   1 0  1
+   22 0.00   28 0.00    0 0.00   1 0  1
+   22 0.02    9 0.80   22 0.60   1 0  1
+   22 0.05    0 0.00    2 0.90   1 0  1
+   22 0.20    2 0.00    2 1.00   1 0  1
+   22 0.60    0 0.00    6 0.90   1 0  0
+   22 0.60   30 0.90  110 0.00   1 0  0
+   22 0.80    3 1.00   60 0.10   1 0  0
+   22 0.80   60 0.00    5 0.00   1 0  1
+   22 0.90   28 0.10   70 0.60   1 0  0
+   22 0.90   45 0.60    5 0.00   1 0  0
+   28 0.02    0 0.00   45 0.10   1 0  1
+   30 0.60    4 1.00    0 0.00   1 0  0
+   30 0.90    2 0.90    8 0.00   1 0  0
+   35 0.00   12 0.00   45 0.90   1 0  1
+   35 0.00   45 0.02   80 0.02   1 0  1
+   35 0.00   70 0.90    0 0.00   1 0  1
+   35 0.05    6 1.00   45 0.00   1 0  1
+   35 0.10    0 0.00    0 0.00   1 0  1
+   35 0.10    2 0.90    6 1.00   1 0  1
+   35 0.20  110 0.20    1 0.00   1 0  1
+   45 0.10  110 0.20    4 0.90   1 0  1
+   45 0.20   60 0.20   70 0.80   1 0  1
+   45 0.80    0 0.00    8 0.00   1 0  1
+   45 0.80    2 0.00    6 1.00   1 0  0
+   60 0.00    0 0.00    5 0.00   1 0  1
+   60 0.00    1 0.80    5 0.00   1 0  1
+   70 0.60    3 0.00    0 0.00   1 0  1
+   70 0.60   22 0.02   28 0.02   1 0  1
+   70 0.80    0 0.00   60 0.00   1 0  1
+   70 0.90    0 0.00   70 0.60   1 0  0
+   80 0.00   16 0.00   80 0.10   1 0  1
+   80 0.02   45 0.60   45 0.00   1 0  1
+   80 0.02   45 0.90    5 0.00   1 0  1
+   80 0.10    4 1.00    0 0.00   1 0  1
+   80 0.20    1 0.00    0 0.00   1 0  1
+  110 0.00   22 0.60    4 1.00   1 0  1
+  110 0.00   30 0.80   30 0.80   1 0  1
+  110 0.02    1 0.00    8 0.00   1 0  1
    25 0.00   45 0.00   60 0.00   1 1  0
     4 1.00   45 0.00   60 0.00   1 1  0
     2 0.00   33 0.00   80 0.00   1 1  0
@@ -72,6 +141,24 @@ LABELLED = """
     3 0.00   70 0.00   55 0.00   1 1  0
    60 0.00   90 0.00   20 0.00   1 1  0
    20 0.00   60 0.00    2 1.00   1 1  0
+    1 0.00    2 0.80    2 0.00   1 1  0
+    1 0.00   80 0.10   45 0.00   1 1  0
+    2 0.00   22 0.00    2 0.00   1 1  0
+    3 0.00    9 1.00   22 0.05   1 1  0
+    8 0.00   12 0.00    5 0.00   1 1  0
+   12 0.00    1 0.00   35 0.10   1 1  0
+   12 0.00   16 0.00    6 0.80   1 1  0
+   12 0.00   22 0.00    3 0.80   1 1  0
+   16 0.00    9 1.00    2 0.80   1 1  0
+   22 0.00   60 0.00    4 1.00   1 1  0
+   22 0.05    8 0.00   12 0.00   1 1  0
+   28 0.00    1 0.00  110 0.00   1 1  0
+   28 0.00    5 0.00    2 0.90   1 1  0
+   60 0.00    4 0.90    9 0.90   1 1  0
+   60 0.10   60 0.02   60 0.05   1 1  0
+   80 0.00    9 0.90   12 0.00   1 1  0
+   80 0.02   28 0.00    1 0.00   1 1  0
+  110 0.05    2 0.80   22 0.00   1 1  0
     9 0.00    2 0.00   66 0.00   0 0  1
    66 0.00    9 0.00   48 0.08   0 0  1
    48 0.08   66 0.00    4 0.00   0 0  1
@@ -91,12 +178,6 @@ LABELLED = """
     3 0.00    2 1.00    2 1.00   0 0  0
     5 0.00    1 1.00    3 0.00   0 0  0
     4 0.20    6 0.00    0 0.00   0 0  0
-   40 0.00   70 0.00    0 0.00   0 1  0
-    2 1.00    0 0.00   66 0.00   0 1  0
-   70 0.00   40 0.00   50 0.00   0 1  0
-   28 0.00   60 0.00   35 0.00   0 1  0
-    7 0.00   28 0.00   60 0.00   0 1  0
-   80 0.00   60 0.00   35 0.00   0 1  0
    20 0.00   30 0.00   25 0.00   0 0  1
    33 0.05   20 0.00   27 0.10   0 0  1
    15 0.00   60 0.00    0 0.00   0 0  1
@@ -123,6 +204,253 @@ LABELLED = """
    35 0.00    4 1.00    3 1.00   0 0  1
     4 0.30   20 0.00    2 1.00   0 0  0
     8 0.00    3 1.00    2 1.00   0 0  0
+    1 0.00    0 0.00    6 1.00   0 0  0
+    1 0.00    3 0.00    3 1.00   0 0  0
+    1 0.00   35 0.00    3 0.00   0 0  1
+    1 0.00   70 0.80   22 0.80   0 0  0
+    1 0.90    1 0.00   35 0.02   0 0  0
+    2 0.00    0 0.00   45 0.80   0 0  0
+    2 0.00    5 0.00    8 0.00   0 0  0
+    2 0.00    9 0.80    0 0.00   0 0  0
+    2 0.00   22 0.00   70 0.60   0 0  1
+    2 1.00    8 0.00    1 1.00   0 0  0
+    3 0.00    9 0.90   28 0.00   0 0  1
+    3 0.00   22 0.02   28 0.00   0 0  1
+    3 0.90   22 0.60    9 1.00   0 0  0
+    3 1.00    8 0.00    0 0.00   0 0  0
+    3 1.00   70 0.80    0 0.00   0 0  0
+    4 0.80    0 0.00    1 0.80   0 0  0
+    4 0.80   22 0.80    1 0.00   0 0  0
+    4 0.90    1 1.00    0 0.00   0 0  0
+    4 0.90   70 0.80   80 0.00   0 0  0
+    5 0.00    0 0.00   12 0.00   0 0  0
+    5 0.00    0 0.00   45 0.20   0 0  1
+    5 0.00   70 0.90   22 0.10   0 0  1
+    6 0.90    3 0.00    5 0.00   0 0  0
+    6 1.00   22 0.02   22 0.02   0 0  0
+    8 0.00    9 0.90    9 1.00   0 0  0
+    8 0.00   16 0.00   30 0.90   0 0  0
+    8 0.00   30 0.80    3 0.00   0 0  0
+    8 0.00   35 0.00    1 0.80   0 0  1
+    8 0.00   80 0.00    0 0.00   0 0  1
+    9 0.80    0 0.00   30 0.60   0 0  0
+    9 0.80   45 0.02    4 1.00   0 0  0
+    9 1.00   80 0.00   12 0.00   0 0  0
+   12 0.00    0 0.00    0 0.00   0 0  0
+   12 0.00    2 1.00   16 0.00   0 0  0
+   16 0.00    1 0.00   22 0.00   0 0  1
+   16 0.00    6 1.00   30 0.60   0 0  0
+   16 0.00    8 0.00    0 0.00   0 0  0
+   16 0.00   22 0.90    6 1.00   0 0  0
+   16 0.00   30 0.60    0 0.00   0 0  0
+   22 0.00    0 0.00   70 0.90   0 0  1
+   22 0.00    1 1.00  110 0.00   0 0  1
+   22 0.00    6 0.90    3 1.00   0 0  1
+   22 0.02   45 0.00   80 0.20   0 0  1
+   22 0.10    0 0.00    9 0.80   0 0  1
+   22 0.60   45 0.90    1 0.80   0 0  0
+   28 0.00   45 0.60    0 0.00   0 0  1
+   28 0.05   70 0.60    4 1.00   0 0  1
+   30 0.60    4 0.90   35 0.00   0 0  0
+   30 0.80   45 0.80    0 0.00   0 0  0
+   35 0.00    0 0.00   16 0.00   0 0  1
+   35 0.00   22 0.10    3 1.00   0 0  1
+   35 0.00   22 0.60   12 0.00   0 0  1
+   35 0.05    0 0.00    0 0.00   0 0  1
+   35 0.05   22 0.00    0 0.00   0 0  1
+   35 0.10    3 1.00    0 0.00   0 0  1
+   45 0.02   80 0.00   70 0.80   0 0  1
+   45 0.20   12 0.00    3 0.90   0 0  1
+   45 0.60    0 0.00   12 0.00   0 0  0
+   45 0.60  110 0.00  110 0.02   0 0  0
+   45 0.80    9 1.00    3 0.00   0 0  0
+   45 0.80   70 0.60    8 0.00   0 0  0
+   45 0.90   30 0.60   70 0.80   0 0  0
+   60 0.05    5 0.00   45 0.60   0 0  1
+   60 0.10   30 0.80   35 0.20   0 0  1
+   70 0.60    2 1.00    1 1.00   0 0  0
+   70 0.80    8 0.00   30 0.90   0 0  0
+   80 0.00    1 1.00   45 0.60   0 0  1
+   80 0.02   60 0.02    3 0.00   0 0  1
+   80 0.02   70 0.90   70 0.90   0 0  1
+   80 0.10    0 0.00   80 0.00   0 0  1
+  110 0.00    1 0.00   22 0.00   0 0  1
+  110 0.00    1 0.80   16 0.00   0 0  1
+  110 0.00    3 0.00   16 0.00   0 0  1
+  110 0.10    2 0.00    0 0.00   0 0  1
+   40 0.00   70 0.00    0 0.00   0 1  0
+    2 1.00    0 0.00   66 0.00   0 1  0
+   70 0.00   40 0.00   50 0.00   0 1  0
+   28 0.00   60 0.00   35 0.00   0 1  0
+    7 0.00   28 0.00   60 0.00   0 1  0
+   80 0.00   60 0.00   35 0.00   0 1  0
+    2 0.00    2 0.00    1 0.00   0 1  0
+    3 0.00    8 0.00  110 0.02   0 1  0
+    3 0.00   60 0.00    5 0.00   0 1  0
+    5 0.00    1 1.00   80 0.00   0 1  0
+    8 0.00   35 0.00   22 0.05   0 1  0
+    8 0.00   35 0.05    2 1.00   0 1  0
+   16 0.00    2 0.00    9 1.00   0 1  0
+   16 0.00    3 1.00    1 0.80   0 1  0
+   16 0.00    9 0.80    5 0.00   0 1  0
+   22 0.02   28 0.00    6 1.00   0 1  0
+   28 0.00    3 0.90   45 0.05   0 1  0
+   35 0.00    2 0.90    2 0.00   0 1  0
+   35 0.10    1 0.00    9 1.00   0 1  0
+   35 0.20    8 0.00   35 0.00   0 1  0
+   60 0.00   35 0.00   16 0.00   0 1  0
+   60 0.10    1 1.00    1 1.00   0 1  0
+   80 0.20    8 0.00   12 0.00   0 1  0
+   80 0.20   35 0.00   45 0.00   0 1  0
+   30 0.00   14 0.00    5 0.20  -1 0  0
+    5 0.20   30 0.00    0 0.00  -1 0  0
+    3 0.00    4 1.00   11 0.00  -1 0  0
+   55 0.00    7 0.00    9 0.10  -1 0  0
+    2 1.00   80 0.00    2 1.00  -1 0  0
+    1 0.00    0 0.00    3 0.90  -1 0  0
+    1 0.00    2 0.00   70 0.60  -1 0  0
+    1 0.00    5 0.00    9 0.90  -1 0  0
+    1 0.00    9 0.80    0 0.00  -1 0  0
+    1 0.00   45 0.02   80 0.00  -1 0  1
+    1 0.00   45 0.90    1 0.80  -1 0  0
+    2 0.00   22 0.02   16 0.00  -1 0  0
+    2 0.00   28 0.00   28 0.00  -1 0  1
+    2 0.00   45 0.60   45 0.90  -1 0  0
+    2 0.90   16 0.00   12 0.00  -1 0  0
+    2 1.00    0 0.00    0 0.00  -1 0  0
+    2 1.00    2 0.00    0 0.00  -1 0  0
+    2 1.00   22 0.80   28 0.00  -1 0  0
+    2 1.00   28 0.02    2 0.80  -1 0  0
+    3 0.00    6 0.80    4 1.00  -1 0  0
+    3 0.00   35 0.00    2 0.90  -1 0  0
+    5 0.00    0 0.00    3 0.00  -1 0  0
+    5 0.00    4 0.90   70 0.80  -1 0  0
+    5 0.00   16 0.00  110 0.20  -1 0  0
+    5 0.00   30 0.90   22 0.00  -1 0  0
+    6 0.90   30 0.60   45 0.80  -1 0  0
+    6 1.00    1 1.00   22 0.90  -1 0  0
+    6 1.00   45 0.10   45 0.90  -1 0  0
+    8 0.00    1 0.00    0 0.00  -1 0  0
+    8 0.00    2 1.00   35 0.05  -1 0  0
+    8 0.00    5 0.00    5 0.00  -1 0  0
+    8 0.00   45 0.60   12 0.00  -1 0  0
+    8 0.00   60 0.00   30 0.90  -1 0  0
+    8 0.00   80 0.10    0 0.00  -1 0  0
+    9 0.90    5 0.00    4 1.00  -1 0  0
+    9 1.00    6 0.90   12 0.00  -1 0  0
+    9 1.00   45 0.20    0 0.00  -1 0  0
+   12 0.00    0 0.00    0 0.00  -1 0  0
+   12 0.00    0 0.00   45 0.80  -1 0  0
+   12 0.00    0 0.00  110 0.00  -1 0  0
+   16 0.00    2 0.90    2 0.00  -1 0  0
+   16 0.00   30 0.60    0 0.00  -1 0  0
+   16 0.00  110 0.00   45 0.05  -1 0  1
+   22 0.00    0 0.00   80 0.10  -1 0  1
+   22 0.00    2 0.80    3 0.90  -1 0  0
+   22 0.00   22 0.05    0 0.00  -1 0  1
+   22 0.00   70 0.90   12 0.00  -1 0  0
+   22 0.02   22 0.60    0 0.00  -1 0  0
+   22 0.02   60 0.20   22 0.80  -1 0  1
+   22 0.05    1 0.00   30 0.80  -1 0  0
+   22 0.05    3 1.00   45 0.00  -1 0  1
+   22 0.20    9 0.80   45 0.00  -1 0  1
+   22 0.20   16 0.00  110 0.10  -1 0  1
+   22 0.20   60 0.20    3 0.00  -1 0  1
+   22 0.60    0 0.00   80 0.00  -1 0  0
+   22 0.60    2 0.00   45 0.60  -1 0  0
+   22 0.80   12 0.00   60 0.05  -1 0  0
+   28 0.00    1 1.00   22 0.05  -1 0  1
+   28 0.00    6 0.80    8 0.00  -1 0  0
+   28 0.00   22 0.00    0 0.00  -1 0  1
+   28 0.00   30 0.80   35 0.00  -1 0  1
+   28 0.00   30 0.90   22 0.00  -1 0  1
+   28 0.02   35 0.05   28 0.02  -1 0  1
+   28 0.02   80 0.00   22 0.20  -1 0  1
+   28 0.05    6 1.00   45 0.90  -1 0  0
+   28 0.10    0 0.00   28 0.02  -1 0  1
+   28 0.20  110 0.05    9 1.00  -1 0  1
+   30 0.80   60 0.10    0 0.00  -1 0  0
+   30 0.90    3 0.90    0 0.00  -1 0  0
+   35 0.00   22 0.10  110 0.00  -1 0  1
+   35 0.02    2 0.00   60 0.00  -1 0  1
+   35 0.05   22 0.05    2 0.00  -1 0  1
+   35 0.05   70 0.90  110 0.02  -1 0  1
+   35 0.10    0 0.00    0 0.00  -1 0  0
+   35 0.10    4 0.80    6 1.00  -1 0  0
+   35 0.20    0 0.00    0 0.00  -1 0  0
+   35 0.20   28 0.02    0 0.00  -1 0  1
+   35 0.20   60 0.05    5 0.00  -1 0  1
+   45 0.00    0 0.00   22 0.00  -1 0  1
+   45 0.00    0 0.00   45 0.10  -1 0  1
+   45 0.00    3 1.00   70 0.80  -1 0  0
+   45 0.00    3 1.00  110 0.00  -1 0  1
+   45 0.02   22 0.00    1 0.90  -1 0  1
+   45 0.05    0 0.00    3 1.00  -1 0  0
+   45 0.10    0 0.00    0 0.00  -1 0  0
+   45 0.10   22 0.05    0 0.00  -1 0  1
+   45 0.10   45 0.60   70 0.80  -1 0  0
+   45 0.20    3 0.00    0 0.00  -1 0  0
+   45 0.60    0 0.00   45 0.60  -1 0  0
+   45 0.90   30 0.80   30 0.80  -1 0  0
+   60 0.00    6 1.00    3 1.00  -1 0  0
+   60 0.00   12 0.00  110 0.20  -1 0  1
+   60 0.00   28 0.10   22 0.90  -1 0  1
+   60 0.00   45 0.60   22 0.00  -1 0  1
+   60 0.02   45 0.20    6 1.00  -1 0  1
+   60 0.05    1 0.00   60 0.00  -1 0  1
+   60 0.05   30 0.80   30 0.80  -1 0  0
+   60 0.10    2 0.00    3 1.00  -1 0  0
+   60 0.20   12 0.00    2 0.00  -1 0  0
+   70 0.80   22 0.90    0 0.00  -1 0  0
+   80 0.00    6 0.80    0 0.00  -1 0  0
+   80 0.00   70 0.60   22 0.90  -1 0  0
+   80 0.00   80 0.00   80 0.00  -1 0  1
+   80 0.10   45 0.90    6 0.90  -1 0  0
+  110 0.00    4 1.00   45 0.80  -1 0  0
+  110 0.00   45 0.10   30 0.90  -1 0  1
+  110 0.00   60 0.10    1 0.90  -1 0  1
+  110 0.02    0 0.00    1 0.00  -1 0  0
+  110 0.05    0 0.00   45 0.90  -1 0  0
+  110 0.10   80 0.10   16 0.00  -1 0  1
+  110 0.20   80 0.02   22 0.60  -1 0  1
+    1 1.00    0 0.00    1 1.00  -1 1  0
+    1 1.00    1 1.00    1 1.00  -1 1  0
+    2 1.00    1 1.00   12 0.00  -1 1  0
+    8 0.10   50 0.00    0 0.00  -1 1  0
+   40 0.00   60 0.00    0 0.00  -1 1  0
+   12 0.00    2 1.00    9 0.00  -1 1  0
+    6 0.00    1 1.00   70 0.00  -1 1  0
+   35 0.05    1 1.00   14 0.00  -1 1  0
+   14 0.00   90 0.00   30 0.00  -1 1  0
+    2 0.00    5 0.00    2 0.00  -1 1  0
+    3 0.00    3 0.00   22 0.00  -1 1  0
+    3 0.00   60 0.02    2 0.00  -1 1  0
+    5 0.00    2 0.80   22 0.20  -1 1  0
+    5 0.00    6 1.00    3 0.90  -1 1  0
+    8 0.00    1 0.80   16 0.00  -1 1  0
+    8 0.00   35 0.05    6 1.00  -1 1  0
+    8 0.00   35 0.20   45 0.00  -1 1  0
+   12 0.00    3 0.00    9 0.80  -1 1  0
+   22 0.10    3 0.00  110 0.10  -1 1  0
+   35 0.00  110 0.02    8 0.00  -1 1  0
+   45 0.00    2 1.00    1 0.00  -1 1  0
+   45 0.00   22 0.00   35 0.02  -1 1  0
+   60 0.00    1 0.00   16 0.00  -1 1  0
+   60 0.02   12 0.00    2 1.00  -1 1  0
+   60 0.10   22 0.00    9 1.00  -1 1  0
+  110 0.00    6 0.80    2 0.80  -1 1  0
+  110 0.00    6 1.00   28 0.00  -1 1  0
+    2 0.00   60 0.00    0 0.00  -1 0  0
+    1 0.00   45 0.00    5 0.00  -1 0  0
+    2 0.00   80 0.00    3 1.00  -1 0  0
+    1 0.00   90 0.00   12 0.00  -1 0  0
+    2 0.00    1 1.00    1 1.00   1 0  0
+    1 0.00    2 1.00    1 1.00   1 0  0
+    3 0.00    1 1.00    4 1.00   1 0  0
+    5 0.00    2 1.00    2 0.80   1 0  0
+    4 0.00    3 0.90    1 1.00   1 0  0
+    2 0.00    6 1.00    9 0.90   1 0  0
+    6 0.00    1 1.00    2 1.00   1 0  0
 """
 
 # element names: what cuts blocks, what is dropped with its content, what makes a navigation part
@@ -144,6 +472,9 @@ NAMES = frozenset(
     "comment comments commentlist respond reply replies disqus discussion form search pagination pager complementary contentinfo "
     "hidden".split()
 )
+# words that make such a name a layout's, which an article may lie in, and those that no layout word excuses
+LAYOUT = frozenset("wrapper wrap page site layout has with".split())
+FOREIGN = frozenset("comment comments commentlist respond reply replies disqus discussion related recommended teaser teasers widget widgets promo sponsored".split())
 
 _DROP = "|".join(DROPPED)
 TAG = re.compile(
@@ -156,19 +487,24 @@ HIDING = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
-def _named(rest: str) -> bool:
+def _named(rest: str) -> int:
+    """1 if an element's names make it such a part but for an article inside it, 2 if for that too, else 0."""
     if not rest.strip():
-        return False
+        return 0
     words = {w for m in NAMING.finditer(rest) for w in WORD.findall(m[1].lower())}
-    return not NAMES.isdisjoint(words) or HIDING.search(rest) is not None
+    if HIDING.search(rest) is not None:
+        return 2
+    if NAMES.isdisjoint(words):
+        return 0
+    return 2 if LAYOUT.isdisjoint(words) or not FOREIGN.isdisjoint(words) else 1
 
 
 def blocks(page: str) -> list[tuple]:
     """Text blocks of a page in order: the text, then FEATURES.
 
     White space inside a block is one blank and blocks without text are left out. Markup may be cut off or badly nested: a closing tag
-    closes the nearest open element of its name, if any. What a page's first article or main element lies in does not
-    count against it, so that a wrapper named after its sidebar does no harm.
+    closes the nearest open element of its name, if any. A wrapper named after its sidebar does not count against the page's
+    first article or main element in it; one inside a boxed part is neither that nor the page's article.
     """
     found: list[list] = []  # text, words, links, in article, boxed
     pieces: list[str] = []
@@ -182,7 +518,7 @@ def blocks(page: str) -> list[tuple]:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             words = len(text.split())
-            found.append([text, words, min(linked / words, 1.0), article, boxed])
+            found.append([text, words, min(linked / words, 1.0), article, int(boxed > 0)])
         pieces.clear()
         linked = 0
 
@@ -212,11 +548,11 @@ def blocks(page: str) -> list[tuple]:
                     del held[k:]
                     break
         elif name in HOLDING and not m["rest"].endswith("/"):
-            own = name in PARTS or _named(m["rest"])
-            if name in ARTICLES and name not in seen:
+            own = 2 if name in PARTS else _named(m["rest"])
+            if name in ARTICLES and name not in seen and boxed < 2 and own < 2:
                 seen.add(name)
                 boxed = 0
-            held.append((name, max(article, {"main": 1, "article": 2}.get(name, 0)), int(boxed or own)))
+            held.append((name, max(article, {"main": 1, "article": 2}.get(name, 0)), max(boxed, own)))
         article, boxed = held[-1][1:] if held else (0, 0)
     tail = page[at:]
     if tail:
