@@ -26,13 +26,14 @@ def _code(line: Column) -> Column:
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column | str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, host: Column | str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``pages`` with ``text`` rid of boilerplate lines, plus n_lines and n_dropped (bigint).
 
     Lines are cut at ``\\n`` and compared trimmed of blanks; empty lines are never counted or dropped. A line
     goes if it is on at least ``min_pages`` pages of its host and on more than ``ratio`` of them. Every row is a
-    page, repeated rows too. A null host is a host of its own, the same as the empty one; a null text stays
+    page, repeated rows too; with ``copies_once`` all rows of one host and text are one page. A null host is a host of its own, the same as the empty one; a null text stays
     null, counts as a page and has 0 lines. A page that loses every line keeps an empty text.
     Columns of the input are kept; ``n_lines`` and ``n_dropped`` replace columns of that name.
     """
@@ -40,10 +41,14 @@ def drop_boilerplate(
     work = pages.drop("n_lines", "n_dropped").select(
         F.struct("*").alias("_page"), key.alias("_host"), F.split(F.col(text), "\n", -1).alias("_lines")
     )
-    totals = work.groupBy("_host").agg(F.count("*").alias("pages"))
+    copy = _code(F.col(f"_page.{text}")).alias("copy")
+    voters = work.select("_host", copy).distinct() if copies_once else work
+    totals = voters.groupBy("_host").agg(F.count("*").alias("pages"))
     codes = F.transform(F.filter(F.transform("_lines", lambda x: F.trim(x)), lambda x: x != ""), _code)
+    held = F.explode(F.array_distinct(codes)).alias("code")
+    votes = work.select("_host", copy, held).distinct() if copies_once else work.select("_host", held)
     counts = (
-        work.select("_host", F.explode(F.array_distinct(codes)).alias("code"))
+        votes
         .groupBy("_host", "code").agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_pages)
     )
