@@ -82,8 +82,43 @@ PLAIN = (
     ("unknown", "licen[sc]ed under", "ed under", "licen", 4, 0.3),
     ("unknown", "licen[sc]e agreement", "e agreement", "licen", 4, 0.3),
 )
+# wording of licences' own texts and notices, written by hand: label, regular expression, keyword, second keyword, rank, confidence
+BODIES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge to any person obtaining", "hereby", 2, 0.95),
+    ("mit", "this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be", "portions", 2, 0.9),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "without warranty of any kind", "the software is provided as is", 2, 0.8),
+    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "any person or organization obtaining", "hereby", 2, 0.95),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", "with or without fee", "hereby", 2, 0.95),
+    ("isc", "the author disclaims all warranties with regard to this software", "author disclaims all warranties", "warranties", 2, 0.85),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without a written agreement", "hereby", 2, 0.95),
+    ("hpnd", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "distribute and sell this software", "hereby", 2, 0.95),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms", "redistribution", 2, 0.95),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source code", "retain", 2, 0.9),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form", "reproduce", 2, 0.9),
+    ("bsd", "this software is provided by the (?:copyright holders?|regents|authors?)(?: and contributors)? as is and any express or implied warranties", "this software is provided by the", "warranties", 2, 0.85),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products", "prior written permission", 2, 0.9),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "all advertising materials", "acknowledg", 2, 0.95),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "including commercial applications", "redistribute", 2, 0.95),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented", "altered source versions", "misrepresented", 2, 0.9),
+    ("apache-2.0", "you may not use this file except in compliance with the license", "except in compliance with the license", "this file", 2, 0.9),
+    ("apache-2.0", "software distributed under the license is distributed on an as is basis", "is distributed on an as is basis", "license", 2, 0.9),
+    ("apache-2.0", "a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent|except as stated in this section patent) license", "no charge royalty free irrevocable", "license", 2, 0.9),
+    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", "as published by the free software", "gnu general public", 2, 0.9),
+    ("lgpl", "under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation", "as published by the free software", "general public", 2, 0.95),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "as published by the free software", "affero", 2, 0.95),
+    ("copyleft", "everyone is permitted to copy and distribute verbatim copies of this license document", "distribute verbatim copies", "license", 2, 0.8),
+    ("gpl-2", "the licenses for most software are designed to take away your freedom to share and change it", "designed to take away your freedom", "licenses", 2, 0.9),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works", "is a free copyleft license", "gnu general public", 2, 0.95),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form is subject", "mozilla", 2, 0.95),
+    ("epl", "made available under the terms of the eclipse public license", "made available under", "eclipse", 2, 0.9),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered", "public domain", 2, 0.95),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", "verbatim or modified copies", "license", 2, 0.95),
+    ("ofl", "to stimulate worldwide development of collaborative font projects", "collaborative font projects", "font", 2, 0.9),
+    ("cc0", "has dedicated the work to the public domain", "dedicated the work", "public domain", 2, 0.9),
+    ("python", "this license agreement is between the python software foundation", "license agreement is between", "python", 2, 0.9),
+)
 # every rule's match holds one of these, in words that no separator cuts
-GATE = "(?i)licen[sc]|domain|reserved|copyleft"
+GATE = "(?i)licen[sc]|domain|reserved|copyleft|hereby|redistribut|warrant|portions|endorse|acknowledg|misrepresent|collaborative"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -105,7 +140,7 @@ def rules() -> list[tuple]:
             for v in versions:
                 out.append((f"{label}-{v.replace(' ', '.')}", f"{title} licen[sc]e(?: version)? v?{v}", key, "licen", 3, 0.8))
             out.append((label, f"{title} licen[sc]e", key, "licen", 4, 0.6))
-    return [*out, *PLAIN]
+    return [*out, *PLAIN, *BODIES]
 
 
 def _rule_table() -> str:
