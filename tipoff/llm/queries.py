@@ -6,8 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import ann, bpe, decontaminate, html_extract, langid, license_scan, line_dedup, quality, simhash, suffix_array
+from tipoff.llm import (
+    ann, bpe, decontaminate, html_extract, langid, license_scan, line_dedup, quality, simhash, suffix_array, token_files,
+)
+from tipoff.llm.chunks import Words, chunked
 from tipoff.llm.common import bucket_of, prepare, read
+from tipoff.scratch import fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -83,11 +87,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the written token files hold them."""
+    prepare(spark)
+    path, folder = public_tokenizers.path(TOKENIZER), fresh_path(spark, "token-files")
+    docs = read(spark, sf_dir, "documents").select("doc_id", token_files.encoded(F.col("text"), path, end_id=2).alias("ids"))
+    token_files.write(docs, folder, chunked(Words, path).size)
+    return token_files.documents(spark, folder)
+
+
 REGISTRY = {
     fn.__name__: fn
     for fn in (
         op1_line_dedup, op2_html_extract, op3_bpe, op4_decontaminate, op5_ann,
-        op6_quality, op7_simhash, op8_langid, op9_suffix_array, op10_license_scan,
+        op6_quality, op7_simhash, op8_langid, op9_suffix_array, op10_license_scan, op11_token_files,
     )
 }
 
