@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipoff.llm import (
-    ann, bpe, decontaminate, html_extract, langid, license_scan, line_dedup, quality, simhash, suffix_array, token_files,
+    ann, bpe, decontaminate, html_extract, langid, license_scan, line_dedup, quality, search, simhash, suffix_array,
+    token_files,
 )
 from tipoff.llm.chunks import Words, chunked
 from tipoff.llm.common import bucket_of, prepare, read
@@ -96,11 +97,17 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(spark, folder)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    prepare(spark)
+    return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 REGISTRY = {
     fn.__name__: fn
     for fn in (
         op1_line_dedup, op2_html_extract, op3_bpe, op4_decontaminate, op5_ann,
-        op6_quality, op7_simhash, op8_langid, op9_suffix_array, op10_license_scan, op11_token_files,
+        op6_quality, op7_simhash, op8_langid, op9_suffix_array, op10_license_scan, op11_token_files, op12_ranked_search,
     )
 }
 
@@ -119,5 +126,29 @@ kept AS (
 SELECT c.doc_id, CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
        coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
 FROM cut c LEFT JOIN kept k ON k.r = c.r
+""",
+    "op12_ranked_search": r"""
+WITH items AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+docs AS (SELECT row_number() OVER () AS d, doc_id, text FROM documents),
+item_terms AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+doc_terms AS (
+  SELECT d, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+postings AS (SELECT d, doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM doc_terms GROUP BY 1, 2, 3),
+lengths AS (SELECT d, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY 1),
+total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+measured AS (SELECT l.d, 10 + (90 * l.n * t.docs) // t.terms AS m FROM lengths l, total t),
+frequency AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+weights AS (SELECT f.term, CAST(floor(1000 * ln((2 * t.docs + 2)::DOUBLE / (2 * f.df + 1))) AS BIGINT) AS w FROM frequency f, total t),
+scores AS (
+  SELECT q.i, q.item_id, p.d, p.doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * x.m))) AS BIGINT) AS score
+  FROM item_terms q JOIN postings p ON p.term = q.term JOIN weights w ON w.term = q.term JOIN measured x ON x.d = p.d
+  GROUP BY 1, 2, 3, 4),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }
