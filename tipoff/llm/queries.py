@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipoff.llm import (
-    ann, bpe, decontaminate, html_extract, langid, license_scan, line_dedup, quality, search, simhash, suffix_array,
+    align, ann, bpe, decontaminate, html_extract, langid, license_scan, line_dedup, quality, search, simhash, suffix_array,
     token_files,
 )
 from tipoff.llm.chunks import Words, chunked
@@ -15,6 +15,7 @@ from tipoff.llm.common import bucket_of, prepare, read
 from tipoff.scratch import fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
+TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +104,18 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens."""
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents")
+    return align.align(docs, public_tokenizers.path(TOKENIZER_A), public_tokenizers.path(TOKENIZER_B)).drop("groups")
+
+
 REGISTRY = {
     fn.__name__: fn
     for fn in (
         op1_line_dedup, op2_html_extract, op3_bpe, op4_decontaminate, op5_ann,
-        op6_quality, op7_simhash, op8_langid, op9_suffix_array, op10_license_scan, op11_token_files, op12_ranked_search,
+        op6_quality, op7_simhash, op8_langid, op9_suffix_array, op10_license_scan, op11_token_files, op12_ranked_search, op13_alignment,
     )
 }
 
