@@ -26,7 +26,7 @@ from tipoff.llm.chunks import Bytes, Pieces, chunked
 from tipoff.llm.common import row_batches, texts
 from tipoff.scratch import stage
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 class Names:
@@ -45,6 +45,8 @@ class Names:
             for i, name in enumerate(map(b.id_to_piece, range(b.get_piece_size())))
         ]
         self.len_a, self.len_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
+        # no normaliser and a token for every byte: nothing can get lost
+        self.lossless_a = self.a.library.normalizer is None and byte_of.keys() <= vocabulary.keys()
         self.bits_b = len(self.bytes_b).bit_length()
         self.bits = self.bits_b + len(self.bytes_a).bit_length()
         ends = [(self.bytes_a, ",|"), (self.bytes_b, ",;")]
@@ -102,7 +104,8 @@ def shared_cuts(a_end: np.ndarray, b_end: np.ndarray, a_ptr: np.ndarray, b_ptr:
         leaves.append(todo[:, at_a < 0])
         cut = at_a >= 0
         todo, at_a, at_b = todo[:, cut], at_a[cut] + 1, at_b[cut] + 1
-        todo = np.concatenate([np.stack([todo[0], at_a, todo[2], at_b]), np.stack([at_a, todo[1], at_b, todo[3]])], axis=1)
+        halves = np.stack([todo[0], at_a, todo[2], at_b]), np.stack([at_a, todo[1], at_b, todo[3]])
+        todo = np.stack(halves, axis=2).reshape(4, -1)  # in text order, so that bisections go through memory in order
     done = np.concatenate(leaves, axis=1) if leaves else np.zeros((4, 0), np.int64)
     done = done[:, np.argsort(done[0], kind="stable")]
     return done[1], done[3]
@@ -129,10 +132,9 @@ class Aligned:
         a, b = names.a.encode(whole), names.b.encode(batch)
         for i, text in enumerate(whole):
             data = text.encode("utf-8", "surrogatepass")
-            if any(
-                b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())) != data
-                for table, ids in ((names.bytes_a, a[i]), (names.bytes_b, b[i]))
-            ):
+            ids_a, ids_b = np.frombuffer(a[i], "<u4"), np.frombuffer(b[i], "<u4")
+            same_a = names.len_a[ids_a].sum() == len(data) if names.lossless_a else b"".join(map(names.bytes_a.__getitem__, ids_a.tolist())) == data
+            if not same_a or b"".join(map(names.bytes_b.__getitem__, ids_b.tolist())) != data:
                 a[i] = b[i] = b""
         self.names = names
         (self.a, self.a_ptr), (self.b, self.b_ptr) = _ids(a), _ids(b)
@@ -155,8 +157,13 @@ class Aligned:
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """The id pair of every link, text by text, and where texts begin: between two neighbouring ends of either side lie one
         token of A and one of B, and each such pair of tokens meets once."""
-        ends = np.union1d(self.a_end, self.b_end)
-        pairs = self.a[np.searchsorted(self.a_end, ends)] << self.names.bits_b | self.b[np.searchsorted(self.b_end, ends)]
+        size = int(self.a_end[-1]) + 1 if len(self.a_end) else 1
+        is_a, is_b = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        is_a[self.a_end] = is_b[self.b_end] = 1
+        ends = np.flatnonzero(is_a | is_b)
+        # the token that reaches an end is the one after all that end before
+        before_a, before_b = (np.cumsum(x[ends], dtype=np.int64) - x[ends] for x in (is_a, is_b))
+        pairs = self.a[before_a] << self.names.bits_b | self.b[before_b]
         return pairs, self.a_ptr + self.b_ptr - self.group_ptr
 
 
