@@ -1,56 +1,95 @@
-"""Tokenizer libraries run over whole texts by the chunk: each distinct chunk goes through the library once in a while.
+"""Tokenizer libraries run over whole texts by the chunk: each distinct chunk goes to the library once in a while.
 
 A text is cut where no token of the tokenizer can reach across, so that the ids of the text are the ids of its chunks in
 order. Ids of chunks are kept in two generations of a dictionary: frequent chunks stay, rare ones are forgotten, and
-memory is bounded by ``KEPT`` chunks a generation and chunks of at most ``LONGEST`` characters.
+memory is bounded by ``KEPT`` chunks a generation of at most ``LONGEST`` characters.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from array import array
+from collections.abc import Callable
 
-import numpy as np
 import regex
 
-from tipoff.llm.bpe import WHITE
+from tipoff.llm.bpe import WHITE, byte_letters
 
-KEPT = 400_000
+KEPT = 150_000
 LONGEST = 200
 # the split of word tokenizers that drop white space; fixed by the tokenizer file
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# both splits for text below U+0250: letters and digits there are the same in every version of Unicode, and nothing composes
+LATIN = "\u0250"
+ASCII_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+").findall
+LATIN_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+").findall
+LATIN_BYTES = regex.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+).findall
+LETTERS = dict(enumerate(byte_letters()))
+
+
+def letters(word: str) -> str:
+    """A word's bytes as the byte-level letters the model knows."""
+    return (word if word.isascii() else word.encode().decode("latin-1")).translate(LETTERS)
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class Known(dict):
+    """Ids by chunk: what is not there comes from the generation before, else from the library."""
+
+    def __init__(self, ids_of: Callable[[str], bytes], before: dict):
+        super().__init__()
+        self.ids_of, self.before = ids_of, before
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.before.get(chunk)
+        if found is None:
+            found = self.ids_of(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = found
+        return found
 
 
 class Chunked:
-    """Base: ``cut`` gives the chunks of a text, ``ids_of`` the ids of many chunks from the library."""
+    """Base: ``cut`` gives the chunks of a text, ``ids_of`` the ids of one chunk from the library."""
 
     def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known(self.ids_of, {})
+        self.words: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         raise NotImplementedError
 
-    def ids_of(self, chunks: list[str]) -> list[list[int]]:
+    def ids_of(self, chunk: str) -> bytes:
         raise NotImplementedError
 
+    def ids_of_words(self, words: list[str]) -> bytes:
+        """Ids of the model's words, which repeat in chunks that differ by a comma."""
+        ids = []
+        for word in words:
+            found = self.words.get(word)
+            if found is None:
+                found = packed([t.id for t in self.merge(letters(word))])
+                if len(word) <= LONGEST:
+                    self.words[word] = found
+            ids.append(found)
+        if len(self.words) > KEPT:
+            self.words.clear()
+        return b"".join(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        parts = [self.cut(t) for t in texts]
-        new = set().union(*parts).difference(self.young)
-        long, fresh = {}, []
-        for chunk in new:
-            kept = self.old.get(chunk)
-            if kept is None:
-                fresh.append(chunk)
-            else:
-                self.young[chunk] = kept
-        for chunk, ids in zip(fresh, self.ids_of(fresh)):
-            (self.young if len(chunk) <= LONGEST else long)[chunk] = np.array(ids, "<u4").tobytes()
-        known = self.young if not long else {**self.young, **long}
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self.known.__getitem__, self.cut(text))))
+            if len(self.known) > KEPT:
+                self.known.before = {}
+                self.known = Known(self.ids_of, self.known)
         return out
 
 
@@ -66,28 +105,34 @@ def _library(path: str, special_is_text: bool):
 
 
 class Words(Chunked):
-    """A tokenizer file that drops white space; any other file of the library is run over whole texts."""
+    """A tokenizer file that drops white space; any other file of the library is run over whole texts.
+
+    A Latin chunk without special tokens goes to the library's model by the word, others to the library as they are.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.library = _library(path, False)
+        self.merge = self.library.model.tokenize
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_word = splits.get("pattern", {}).get("Regex") == WORDS_ONLY and splits.get("behavior") == "Removed"
-        self.separators = regex.compile("[\x1c-\x1f]")
+        self.marks = {t["content"][0] for t in spec["added_tokens"]}
         self.between = regex.compile(f"[{WHITE}]+")
 
     def cut(self, text: str) -> list[str]:
         if not self.by_word:
             return [text]
-        if self.separators.search(text):  # blanks for str.split only
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # blanks for str.split only
             return [c for c in self.between.split(text) if c]
         return text.split()
 
-    def ids_of(self, chunks):
-        return [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def ids_of(self, chunk):
+        if self.by_word and max(chunk) < LATIN and self.marks.isdisjoint(chunk):
+            return self.ids_of_words((ASCII_WORDS if chunk.isascii() else LATIN_WORDS)(chunk.lower()))
+        return packed(self.library.encode(chunk, add_special_tokens=False).ids)
 
 
 class Bytes(Chunked):
@@ -99,10 +144,13 @@ class Bytes(Chunked):
     def __init__(self, path: str):
         super().__init__()
         self.library = _library(path, True)
+        self.merge = self.library.model.tokenize
         self.cut = regex.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
 
-    def ids_of(self, chunks):
-        return [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def ids_of(self, chunk):
+        if max(chunk) < LATIN:
+            return self.ids_of_words(LATIN_BYTES(chunk))
+        return packed(self.library.encode(chunk, add_special_tokens=False).ids)
 
 
 class Pieces(Chunked):
@@ -130,9 +178,8 @@ class Pieces(Chunked):
             return [c[1:] for c in self.runs(" " + text)]
         return text.split(" ")
 
-    def ids_of(self, chunks):
-        found = self.library.encode(chunks, num_threads=1)
-        return [ids if chunk else self.blank for chunk, ids in zip(chunks, found)]  # an empty chunk is one blank at the end
+    def ids_of(self, chunk):
+        return packed(self.library.encode(chunk) if chunk else self.blank)  # an empty chunk is one blank at the end
 
 
 _KEPT: dict[tuple[type, str], Chunked] = {}

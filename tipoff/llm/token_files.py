@@ -187,26 +187,32 @@ def blocks_in(content: memoryview):
         at += size + 1
 
 
+def id_kind(size: int) -> str:
+    """How ids of a vocabulary of ``size`` are held between jobs: little-endian, 16 or 32 bits."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def encoded(text: Column, path: str, end_id: int | None = None) -> Column:
-    """Token ids of a text by the tokenizers library, with ``end_id`` behind them, as binary: little-endian unsigned 32-bit
-    integers. Null is an empty text."""
-    tail = b"" if end_id is None else end_id.to_bytes(4, "little")
+    """Token ids of a text by the tokenizers library, with ``end_id`` behind them, as binary numbers of ``id_kind``. Null is an
+    empty text."""
+    kind = id_kind(chunked(Words, path).size)
+    tail = np.array([] if end_id is None else [end_id], kind).tobytes()
 
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
         out: list[bytes] = []
         for part in row_batches([pa.RecordBatch.from_arrays([column], ["text"])], text=0):
-            out.extend(ids + tail for ids in chunked(Words, path).encode(texts(part.column(0))))
+            out.extend(np.frombuffer(ids, "<u4").astype(kind).tobytes() + tail for ids in chunked(Words, path).encode(texts(part.column(0))))
         return pa.array(out, pa.binary())
 
     return run(text)
 
 
-def _counts(batches):
+def _counts(batches, kind):
     total = np.zeros(0, np.int64)
     for batch in batches:
         for ids in batch.column(0):
-            got = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+            got = np.bincount(np.frombuffer(ids.as_buffer(), kind))
             if len(got) > len(total):
                 total, got = got, total
             total[: len(got)] += got
@@ -216,15 +222,15 @@ def _counts(batches):
 
 def frequencies(rows: DataFrame, size: int) -> np.ndarray:
     """How often each id 0..size-1 occurs in binary column ``ids``; the vocabulary bounds what comes to the driver."""
-    found = rows.select("ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    kind = id_kind(size)
+    found = rows.select("ids").mapInArrow(lambda b: _counts(b, kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
 
 
 def write(docs: DataFrame, path: str, size: int) -> None:
-    """Write columns doc_id (bigint or null) and ids (binary: little-endian unsigned 32-bit integers below ``size``) to folder
-    ``path``, by ascending doc_id, nulls first; rows of one doc_id follow each other in an order of their ids' hash.
+    """Write columns doc_id (bigint or null) and ids (binary numbers of ``id_kind``, below ``size``) to folder ``path``, by ascending doc_id, nulls first; rows of one doc_id follow each other in an order of their ids' hash.
 
     Frequencies cover all rows. Documents are dealt to files by ranges, so no task or file gets more than its share, equal rows
     included; a document stays in one file. Ids are held in memory by block and document. Other columns are left out.
@@ -234,6 +240,7 @@ def write(docs: DataFrame, path: str, size: int) -> None:
     counts = frequencies(rows, size)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(Table.scaled(counts).freq)], "id int, freq bigint").coalesce(1).write.parquet(f"{path}/table")
     table = read_table(spark, path)
+    kind = id_kind(size)
     share = int(counts.sum()) // (4 * spark.sparkContext.defaultParallelism)
     files = 1 + int(counts.sum()) // min(max(share, LEAST_FILE), LARGEST_FILE)
 
@@ -245,14 +252,14 @@ def write(docs: DataFrame, path: str, size: int) -> None:
 
         def close():
             nonlocal pieces, held, room, at
-            ids = np.concatenate(held)
+            ids = np.concatenate(held).astype(np.uint32)
             out = block_bytes(file, at, pieces, ids, table)
             at, pieces, held, room = at + len(ids), [], [], BLOCK_TOKENS
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["block"])
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                left, begins = np.frombuffer(ids.as_buffer(), "<u4"), True
+                left, begins = np.frombuffer(ids.as_buffer(), kind), True
                 while begins or len(left):
                     part, left = left[:room], left[room:]
                     pieces.append((doc_id, begins, len(part)))
