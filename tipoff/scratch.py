@@ -42,7 +42,19 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     else:
         # few, even files a partition; a hot one is split
         df.hint("rebalance", by).write.mode("errorifexists").partitionBy(by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    staged = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    staged._staged_path = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove tables made by ``stage`` that nothing will read again."""
+    for df in staged:
+        path = getattr(df, "_staged_path", None)
+        if path is not None:
+            sc = df.sparkSession.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_staged(spark: SparkSession) -> None:
