@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.scratch import stage
+from tipoff.scratch import discard, stage
 
 # rows of one Arrow batch; texts can be long, so a batch of the default 10,000 could outgrow a task
 BATCH_ROWS = "1000"
@@ -152,7 +152,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         found = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if found[0] == 0 or tuple(found) == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+            roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        mark, edges = tuple(found), stage(_fold(edges), "edges")
+            roots._staged_path = edges._staged_path  # for discard()
+            return roots
+        done = edges
+        mark, edges = tuple(found), stage(_fold(done), "edges")
+        discard(done)
