@@ -16,7 +16,7 @@ import regex
 
 from tipoff.llm.bpe import WHITE, byte_letters
 
-KEPT = 150_000
+KEPT = 500_000
 LONGEST = 200
 # the split of word tokenizers that drop white space; fixed by the tokenizer file
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,6 +59,7 @@ class Chunked:
     """Base: ``cut`` gives the chunks of a text, ``ids_of`` the ids of one chunk from the library."""
 
     def __init__(self) -> None:
+        self.kept = KEPT
         self.known = Known(self.ids_of, {})
         self.words: dict[str, bytes] = {}
 
@@ -78,7 +79,7 @@ class Chunked:
                 if len(word) <= LONGEST:
                     self.words[word] = found
             ids.append(found)
-        if len(self.words) > KEPT:
+        if len(self.words) > self.kept:
             self.words.clear()
         return b"".join(ids)
 
@@ -87,7 +88,7 @@ class Chunked:
         out = []
         for text in texts:
             out.append(b"".join(map(self.known.__getitem__, self.cut(text))))
-            if len(self.known) > KEPT:
+            if len(self.known) > self.kept:
                 self.known.before = {}
                 self.known = Known(self.ids_of, self.known)
         return out
