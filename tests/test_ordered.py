@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from tests.conftest import same, to_pandas
-from tipoff.operators.ordered import Before, GapDays, TrailingMean, largest_group, ordinal, with_history
+from tipoff.operators.ordered import Before, GapDays, TrailingMean, measured, ordinal, with_history
 
 SPECS = [
     TrailingMean("t3", "x", 3), TrailingMean("t7", "x", 7), Before("s", "n", "sum"), Before("c", "x", "count"),
@@ -61,10 +61,32 @@ def test_ordinal(rows, strategy):
         assert group[["d", "id"]].apply(tuple, axis=1).is_monotonic_increasing
 
 
-def test_largest_group(rows):
-    largest, total = largest_group(rows, ["k"])
-    assert total == 600 and largest == rows.where("k = 'hot'").count()
-    assert largest_group(rows.where("false"), ["k"]) == (0, 0)
+def test_measured(rows):
+    """Only large groups are named, in the pass that writes the rows; what follows reads the written rows."""
+    staged, hot = measured(rows, ["k"], 50)
+    sizes = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    large = {k for k, n in sizes.items() if n > 50}
+    others, named = hot.split(staged)
+    assert "hot" in large and {r["k"] for r in named.select("k").distinct().collect()} == large
+    assert hot.rows == sum(sizes[k] for k in large) and others.count() == 600 - hot.rows
+    assert measured(rows, ["k"], 600)[1].rows == 0
+    assert measured(rows.where("false"), ["k"], 0)[1].rows == 0
+    assert measured(rows, [], 599)[1].rows == 600 and measured(rows, [], 600)[1].rows == 0
+
+
+def test_upstream_runs_once(rows, spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = rows.mapInArrow(count, rows.schema)
+    for limit in (50, 10_000):
+        before = seen.value
+        with_history(watched, ["k"], ["d", "id"], SPECS, max_group_rows=limit, chunk_rows=100).collect()
+        assert seen.value - before == 600
 
 
 def test_unknown_strategy(rows):

@@ -10,7 +10,8 @@ Every feature looks only at rows *before* the current one. Two physical plans gi
   travels as extra rows put in front of it: the last N rows (for trailing frames) and one carry row
   with the totals so far. Only those few rows per chunk are ever gathered by group.
 
-``auto`` measures the largest group with one map-side-combined count and picks.
+``auto`` stages the rows once and finds the large groups with a heavy-hitter sketch in that same pass. Only
+the groups that the sketch names are chunked; all others go through the window.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tipoff.scratch import stage
 
 MAX_GROUP_ROWS = 2_000_000
 CHUNK_ROWS = 1_000_000
+# of the sketch: groups it keeps count of, and the most it names; a group it may overlook has under one row in 49,000
+SKETCH_GROUPS = 1 << 16
+NAMED_GROUPS = 5_000
 
 
 @dataclass(frozen=True)
@@ -56,15 +60,33 @@ class GapDays:
 Spec = TrailingMean | Before | GapDays
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in total)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return (row["largest"] or 0, row["total"] or 0)
+@dataclass(frozen=True)
+class Hot:
+    """Groups too large for one task, by the hash of their keys, with (about) the rows they have."""
+
+    keys: tuple[str, ...]
+    hashes: tuple[int, ...]
+    rows: int
 
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows of other groups, rows of these groups)."""
+        named = F.xxhash64(*self.keys).isin(list(self.hashes))
+        return df.where(~named), df.where(named)
 
-def choose_strategy(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> str:
-    return "window" if largest_group(df, keys)[0] <= max_group_rows else "chunked"
+
+def measured(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, Hot]:
+    """``df`` staged, and its groups of more than ``max_group_rows`` rows, from a sketch of frequent key hashes taken while
+    the rows are written. A hash shared by two groups only sends a smaller one the longer way."""
+    if not keys:
+        seen = Observation("rows")
+        staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), "ordered")
+        n = seen.get["n"]
+        return staged, Hot((), (), n if n > max_group_rows else 0)
+    seen = Observation("groups")
+    top = F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), {NAMED_GROUPS}, {SKETCH_GROUPS})")
+    staged = stage(df.observe(seen, top.alias("top")), "ordered")
+    large = [(row["item"], row["count"]) for row in seen.get["top"] or [] if row["count"] > max_group_rows]
+    return staged, Hot(tuple(keys), tuple(h for h, _ in large), sum(n for _, n in large))
 
 
 def with_history(
@@ -75,21 +97,28 @@ def with_history(
     strategy: str = "auto",
     max_group_rows: int = MAX_GROUP_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    hot: Hot | None = None,
 ) -> DataFrame:
-    """``df`` plus one column per spec. ``order`` must be a total order within ``keys``."""
+    """``df`` plus one column per spec. ``order`` must be a total order within ``keys``.
+
+    ``hot`` is what ``measured`` found for some of the keys, if the caller has it already: groups by more keys are no larger.
+    """
     keys, order = list(keys), list(order)
-    total = None
-    if strategy == "auto":
-        largest, total = largest_group(df, keys)
-        strategy = "window" if largest <= max_group_rows else "chunked"
-    if strategy == "window":
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[_plain(spec, window) for spec in specs])
-    if strategy != "chunked":
+    if strategy not in ("auto", "window", "chunked"):
         raise ValueError(f"unknown strategy {strategy}")
-    if total is None:
-        total = df.count()
-    return _chunked(df, keys, order, specs, max(2, -(-total // chunk_rows)))
+    if strategy == "chunked":
+        return _chunked(df, keys, order, specs, max(2, -(-df.count() // chunk_rows)))
+    if strategy == "auto" and hot is None:
+        df, hot = measured(df, keys, max_group_rows)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    plain = lambda rows: rows.select("*", *[_plain(spec, window) for spec in specs])
+    if strategy == "window" or not hot.rows:
+        return plain(df)
+    chunks = max(2, -(-hot.rows // chunk_rows))
+    if not hot.keys:
+        return _chunked(df, keys, order, specs, chunks)
+    others, large = hot.split(df)
+    return plain(others).unionByName(_chunked(large, keys, order, specs, chunks))
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, **options) -> DataFrame:

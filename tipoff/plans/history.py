@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tipoff import schema
 from tipoff.operators.games import canonicalize_games
-from tipoff.operators.ordered import choose_strategy
+from tipoff.operators.ordered import MAX_GROUP_ROWS, measured
 from tipoff.operators.team_features import add_pair_history, add_team_history, attach_opponent
 
 
@@ -18,6 +18,7 @@ def build_history(
     rest: bool = True,
     venue_aware: bool = True,
     strategy: str = "auto",
+    max_group_rows: int = MAX_GROUP_ROWS,
     **options,
 ) -> DataFrame:
     """Team game history: rolling form, opponent form and head-to-head record.
@@ -25,15 +26,16 @@ def build_history(
     ``season`` filters at the scan. SEASON is in every window and join key, so the rows of that
     season are the same as in a full build, and only its partition is read.
 
-    The largest team season is measured once, on the two key columns before the dedup, which bounds
-    every later group from above. The pairing brings the rows of a game together in one shuffle, so silver is
-    scanned and rolled once.
+    The canonical rows are staged once, and a sketch taken in that pass names the team seasons that are too large for one
+    task; a team's games against one opponent are no more, so the same names serve both ordered passes. The pairing brings the
+    rows of a game together in one shuffle, so silver is scanned and rolled once.
     """
     games = silver if season is None else silver.where(F.col("SEASON") == season)
+    canonical, hot = canonicalize_games(games, unique=unique), None
     if strategy == "auto":
-        strategy = choose_strategy(canonicalize_games(games, unique=True), schema.TEAM_KEY)
-    rolled = add_team_history(canonicalize_games(games, unique=unique), rest=rest, strategy=strategy, **options)
-    history = add_pair_history(attach_opponent(rolled), venue_aware=venue_aware, strategy=strategy, **options)
+        canonical, hot = measured(canonical, schema.TEAM_KEY, max_group_rows)
+    rolled = add_team_history(canonical, rest=rest, strategy=strategy, hot=hot, **options)
+    history = add_pair_history(attach_opponent(rolled), venue_aware=venue_aware, strategy=strategy, hot=hot, **options)
     return history.select(*schema.HISTORY_COLUMNS, *(schema.REST_COLUMNS if rest else []))
 
 
