@@ -10,6 +10,7 @@ from tipoff import schema
 from tipoff.operators import board, seasons, snapshots
 from tipoff.plans import daily
 from tipoff.sources.tables import TableStore, land_bronze
+from tipoff.streaming import snapshots as stream_snapshots
 from tipoff.streaming.silver import stream_bronze_to_silver
 from tipoff.streaming.snapshots import stream_game_snapshots
 
@@ -104,6 +105,29 @@ def test_stream_equals_batch(spark, games, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).select(*columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_events_are_thinned_before_the_shuffle(spark, monkeypatch):
+    """A game with most of all events sends one row a clock second and input partition; what is left gives the same snapshots."""
+    rng = random.Random(12)
+    rows = []
+    for n in range(20_000):
+        t = 2880 - n * 2880 // 20_000
+        rows.append(("hot", n, f"{t % 720 // 60:02d}:{t % 60:02d}", 4 - min(t // 720, 3), str(n // 200), str(n // 210), n == 19_999))
+    rows += [(f"g{k}", n, f"{11 - n:02d}:00", 1, "1", "0", n == 11) for k in range(40) for n in range(12)]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, PBP + ", isFinal boolean").repartition(3)
+    thin = stream_snapshots.thinned_events(events)
+    sizes = thin.groupBy("GAME_ID", F.spark_partition_id().alias("part")).count().where("GAME_ID = 'hot'").collect()
+    assert len(sizes) == 3 and all(r["count"] <= 2881 for r in sizes)
+    assert "Exchange" not in thin._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    columns = ["GAME_ID", "ACTION_NUMBER", "PERIOD", "TIME_REMAINING", "CURRENT_SCORE_DIFF"]
+    want = sorted(map(tuple, snapshots.game_snapshots(events).select(*columns).collect()))
+    monkeypatch.setattr(stream_snapshots, "HELD_EVENTS", 500)
+    for frame_ in (thin, stream_snapshots.thinned_events(events)):
+        again = frame_.select("GAME_ID", F.col("ACTION_NUMBER").alias("actionNumber"), F.format_string("%02d:%02d", F.expr("TIME_REMAINING % 720 div 60"), F.expr("TIME_REMAINING % 60")).alias("clock"), (4 - F.expr("TIME_REMAINING div 720")).alias("period"), "scoreHome", "scoreAway")
+        same_clock = [r[1] for r in snapshots.game_snapshots(again).where("GAME_ID <> 'hot'").select(*columns).collect()]
+        assert sorted(same_clock) == sorted(r[1] for r in want if r[0] != "hot")
+
+
 def test_pregame(spark):
     from tipoff.plans.history import build_history
 
@@ -173,3 +197,17 @@ def test_silver_stream_equals_batch(spark, tmp_path):
     columns = ["GAME_ID", "TEAM_ID", "SEASON", "PTS", "HOME", "TEAM_WIN", "INGEST_DATE"]
     read = lambda store: sorted(tuple(r) for r in store.read(schema.SILVER_GAMES).select(*columns).collect())
     assert read(streamed) == read(batch) and len(read(batch)) == len(rows) + 1
+
+
+def test_team_season_job(spark, tmp_path):
+    from tipoff.plans.seasons import write_team_season
+
+    columns = ", ".join(f"{c} string" for c in schema.TEAM_SEASON_TYPES)
+    text = spark.createDataFrame([(y, *["7"] * len(schema.TEAM_SEASON_TYPES)) for y in (2019, 2020, 2020)], "season int, " + columns)
+    store = TableStore(spark, str(tmp_path))
+    assert write_team_season(text, store, 2020) == 2 and write_team_season(text, store, 2019) == 1
+    assert write_team_season(text.where("season = 2019").limit(1), store, 2019) == 1
+    assert store.read(schema.TEAM_SEASONS).groupBy("season").count().orderBy("season").collect() == [(2019, 1), (2020, 2)]
+    with pytest.raises(ValueError, match="no rows"):
+        write_team_season(text, store, 1999)
+    assert store.read(schema.TEAM_SEASONS).count() == 3

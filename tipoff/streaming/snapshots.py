@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,9 +29,8 @@ class GreedySnapshots(StatefulProcessor):
 
     Snapshots come out when the game's final event does, all with the winner.
 
-    Batches must bring a game's events in order; within a batch any order will do. Each Arrow chunk is
-    first reduced to the first event per clock second, so a batch with very many events of one game
-    stays small here.
+    Batches must bring a game's events in order; within a batch any order will do. ``first_per_second`` has thinned
+    the events before they got here; what several input partitions bring of one clock second is reduced here again.
     """
 
     def __init__(self, interval: int = 60):
@@ -82,12 +84,47 @@ class GreedySnapshots(StatefulProcessor):
         pass
 
 
+# events a map task holds before it passes them on
+HELD_EVENTS = 200_000
+
+
+def _thinned(rows: pa.Table) -> pa.Table:
+    """The first event of each game and second of the clock, and all final events."""
+    keys = rows.select(["GAME_ID", "TIME_REMAINING", "isFinal"]).to_pandas()
+    order = pc.sort_indices(rows.column("ACTION_NUMBER"), null_placement="at_end").to_numpy()
+    later = keys.iloc[order].duplicated(["GAME_ID", "TIME_REMAINING"]).to_numpy()
+    keep = np.empty(len(order), bool)
+    keep[order] = ~later
+    return rows.filter(pa.array(keep | keys["isFinal"].to_numpy(bool)))
+
+
+def first_per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A map-side combine: of an input partition, one event of a game and second of the clock leaves the task, besides final ones.
+
+    After an event at t seconds no later event at t is ever due, so the rest changes nothing. A game has 2,880 such seconds.
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = _thinned(table if held is None else pa.concat_tables([held, table]))
+        if held.num_rows >= HELD_EVENTS:  # many games: pass them on, later ones are reduced again downstream
+            yield from held.to_batches()
+            held = None
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
+
+
+def thinned_events(events: DataFrame) -> DataFrame:
+    """Timed events, combined in each input partition before any shuffle."""
+    rows = events.select(*timed_columns(), F.coalesce("isFinal", F.lit(False)).alias("isFinal"))
+    return rows.mapInArrow(first_per_second, rows.schema)
+
+
 def stream_game_snapshots(events: DataFrame, interval: int = 60) -> DataFrame:
     """Streaming play-by-play (with ``isFinal`` on a game's last event) to snapshots.
 
     A game's snapshots come out together when its marker comes, all labelled with the winner.
     """
-    rows = events.select(*timed_columns(), F.coalesce("isFinal", F.lit(False)).alias("isFinal"))
-    return rows.groupBy("GAME_ID").transformWithStateInPandas(
+    return thinned_events(events).groupBy("GAME_ID").transformWithStateInPandas(
         GreedySnapshots(interval), OUTPUT, outputMode="Append", timeMode="None"
     )
