@@ -92,8 +92,62 @@ def test_high_water_mark(spark, tmp_path):
     assert empty[0] is None and str(empty[1]) == "2024-02-01"
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "g_2024_01_07.csv").write_text("x")
-    found = tables.landed_file_names(spark, str(tmp_path))
-    assert rows(found, "file_name") == [("g_2024_01_07.csv",)]
+    assert rows(tables.landed_files(spark, str(tmp_path)), "file_name", "bytes") == [("g_2024_01_07.csv", 1)]
+
+
+def test_landed_files_feed_the_mark(spark, tmp_path):
+    """Games, teams and players landed under their names; landing again replaces, and the newest day gives the next start."""
+    root = str(tmp_path / "landed")
+    games = frame(spark, league(days=3))
+    players = spark.createDataFrame([("p1", "2024-25"), ("p2", "2025-26")], "player_id string, season string")
+    for day in ("2025-09-30", "2025-10-01", "2025-10-01"):
+        tables.land_named(games, root, "games", day)
+    tables.land_named(players, root, "player_stats", "2025-10-01")
+    found = tables.landed_files(spark, root)
+    assert rows(found, "file_name") == [
+        ("games_2024-25_2025_09_30.csv",), ("games_2025-26_2025_10_01.csv",), ("player_stats_2024-25_2025_10_01.csv",),
+        ("player_stats_2025-26_2025_10_01.csv",),
+    ]
+    assert [str(v) for v in tables.ingest_high_water_mark(found, "2025-12-01").first()] == ["2025-10-01", "2025-10-02"]
+    again = spark.read.option("header", True).csv(f"{root}/_file=games_2025-26_2025_10_01.csv")
+    assert again.count() == games.count()
+
+
+def test_late_older_rows_never_replace_newer(spark, store):
+    row = "GAME_ID string, TEAM_ID string, SEASON string, PTS double, INGEST_DATE string"
+    make = lambda *v: spark.createDataFrame(list(v), row)
+    store.write_partitioned(make(("1", "A", "s1", 1.0, "d3"), ("2", "A", "s1", 2.0, "d1"), ("3", "A", "s2", 3.0, None)), "t")
+    late = make(("1", "A", "s9", 90.0, "d2"), ("2", "A", "s2", 20.0, "d2"), ("3", "A", "s2", 30.0, "d0"), ("4", "A", "s3", 4.0, None))
+    for _ in range(2):
+        replaced = store.merge_upsert(late, "t", version="INGEST_DATE")
+        assert rows(store.read("t"), "GAME_ID", "SEASON", "PTS") == [("1", "s1", 1.0), ("2", "s2", 20.0), ("3", "s2", 30.0), ("4", "s3", 4.0)]
+    assert rows(replaced, "GAME_ID") == [("2",), ("3",), ("4",)]
+    # the same version again replaces, an unknown one does not
+    store.merge_upsert(make(("1", "A", "s1", 5.0, "d3"), ("2", "A", "s2", 6.0, None)), "t", version="INGEST_DATE")
+    assert rows(store.read("t"), "GAME_ID", "PTS") == [("1", 5.0), ("2", 20.0), ("3", 30.0), ("4", 4.0)]
+
+
+def test_new_keys_are_appended(spark, store, tmp_path):
+    """A merge without matches leaves the files there as they are, and matches are looked for in the source's range of keys only."""
+    store.write_partitioned(small(spark, *[(f"{i:03d}", "A", f"s{i % 3}", 1.0) for i in range(60)]), "t")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "lake" / "t").rglob("*.parquet")}
+    replaced = store.merge_upsert(small(spark, ("100", "A", "s1", 2.0), ("101", "B", "s7", 2.0)), "t")
+    assert replaced.isEmpty() and store.read("t").count() == 62
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    store.merge_upsert(small(spark, ("001", "A", "s1", 9.0), ("200", "A", "s2", 9.0)), "t")
+    now = set((tmp_path / "lake" / "t").rglob("*.parquet"))
+    assert all((p in now) == ("SEASON=s1" not in str(p)) for p in before)
+    assert store.read("t").where("PTS = 9").count() == 2 and store.read("t").count() == 63
+
+
+def test_partition_values_keep_their_type(spark, store):
+    text = spark.createDataFrame([("1", "2025", "2025-01-02"), ("2", "007", "x")], "k string, SEASON string, day string")
+    store.write_partitioned(text, "t")
+    assert rows(store.read("t"), "k", "SEASON") == [("1", "2025"), ("2", "007")]
+    store.append_by_ingestion(text.where("k = '1'"), "log", by="day")
+    assert dict(store.read("log").dtypes)["day"] == "string" and rows(store.read("log"), "day") == [("2025-01-02",)]
+    store.merge_upsert(spark.createDataFrame([("1", "2026", "y")], text.schema), "t", keys=["k"])
+    assert rows(store.read("t"), "k", "SEASON") == [("1", "2026"), ("2", "007")]
 
 
 def test_season_and_delimited_files(spark, tmp_path):

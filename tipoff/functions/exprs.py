@@ -142,6 +142,16 @@ def normalize_metrics(metrics: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def landed_name(kind: Column, season: Column, day: Column) -> Column:
+    """Name of a landed file: ``games_2025-26_2025_12_01.csv``."""
+    return F.concat_ws("_", kind, season, F.concat(F.date_format(day, "yyyy_MM_dd"), F.lit(".csv")))
+
+
+def us_date(day: Column) -> Column:
+    """A day as ``12/01/2025``, as the source of game logs is asked for it."""
+    return F.date_format(day, "MM/dd/yyyy")
+
+
 def file_date(name: Column) -> Column:
     """Date in a file name such as ``games_2025-26_2025_12_01.csv``; NULL when there is none."""
     return F.try_to_date(F.regexp_extract(name, r"(\d{4}_\d{2}_\d{2})(?=\.csv$)", 1), "yyyy_MM_dd")

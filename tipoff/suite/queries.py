@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from tipoff.operators import board, drift, games, impute, metrics, quality, runs
 from tipoff.operators import team_features as tf
 from tipoff.operators.ordered import ordinal
 from tipoff.plans import daily, history, offline, predict, training
+from tipoff.plans import seasons as season_jobs
+from tipoff.plans import trees
 from tipoff.scratch import fresh_path, stage
 from tipoff.sources import tables
 from tipoff.sources.tables import TableStore
@@ -311,13 +314,57 @@ def run_daily(spark, sf):
 
 @query
 def high_water_mark(spark, sf):
-    """File names with the date of each order; the newest gives the next start."""
-    names = fx.table(spark, sf, "orders").select(
-        F.when(
-            F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("notes_"), F.date_format("o_orderdate", "yyyy_MM_dd"), F.lit(".txt"))
-        ).otherwise(F.concat(F.lit("games_"), F.date_format("o_orderdate", "yyyy_MM_dd"), F.lit(".csv"))).alias("file_name")
-    )
-    return tables.ingest_high_water_mark(names, "2005-01-01")
+    """Games, teams and players landed on the days on which items were last shipped; the newest file gives the next start."""
+    root = fresh_path(spark, "landed")
+    shipped = fx.table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.max(F.to_date("l_shipdate")).alias("day"))
+    kinds = {"games": fx.team_games(spark, sf).select(*KEY, "PTS"), "teams": fx.team_seasons_text(spark, sf).drop("season"), "player_stats": fx.player_seasons(spark, sf).drop("season")}
+    days = sorted(str(r["day"]) for r in shipped.collect())  # an order has few items
+    for (kind, rows), day in zip(kinds.items(), (days[0], days[len(days) // 2], days[-1])):
+        tables.land_named(rows, root, kind, day)
+    return tables.ingest_high_water_mark(tables.landed_files(spark, root), "2005-01-01")
+
+
+@query
+def landed_file_names(spark, sf):
+    """The name of the file that would hold an order's games, its day, and the day as the source is asked for it."""
+    day = F.to_date("o_orderdate")
+    return fx.table(spark, sf, "orders").select(
+        "o_orderkey", X.landed_name(F.lit("games"), X.season_label(day), day).alias("file_name"), X.us_date(day).alias("asked"),
+    ).withColumn("day", X.file_date(F.col("file_name")))
+
+
+@query
+def late_ingest(spark, sf):
+    """Corrections land first, then the older originals: each key keeps its newest ingest."""
+    store = TableStore(spark, fresh_path(spark, "late"))
+    rows = fx.team_games_raw(spark, sf)
+    original = fx.staged(spark, sf, "team_games", lambda: fx.team_games(spark, sf))
+    store.write_partitioned(rows.join(original.select(*KEY[1:], "INGEST_DATE"), [*KEY[1:], "INGEST_DATE"], "left_anti"), "games")
+    store.merge_upsert(original, "games", unique=True, version="INGEST_DATE")
+    return store.read("games").select(*KEY, "GAME_DATE", "PTS", "WL", "INGEST_DATE")
+
+
+@query
+def daily_lookup(spark, sf):
+    """The pair lookup after daily runs of the last two days, from the state of the days before."""
+    rows = bronze_rows(spark, sf)
+    days = sorted(str(r[0]) for r in rows.select("GAME_DATE").distinct().orderBy(F.desc("GAME_DATE")).limit(2).collect())
+    root, store = fresh_path(spark, "bronze"), TableStore(spark, fresh_path(spark, "lake"))
+    tables.land_bronze(rows.where(F.col("GAME_DATE") < F.lit(days[0]).cast("date")), root, "1990-01-01")
+    daily.load_silver(spark, root, store)
+    daily.load_gold(store)
+    for day in days:
+        daily.run_daily(rows.where(F.col("GAME_DATE") == F.lit(day).cast("date")), root, store, day)
+    return rounded(store.read(schema.PAIR_LOOKUP))
+
+
+@query
+def team_season_job(spark, sf):
+    """Two seasons written one after the other, each into its partition."""
+    store, rows = TableStore(spark, fresh_path(spark, "seasons")), fx.team_seasons_text(spark, sf)
+    for season in (2018, 2020, 2018):
+        season_jobs.write_team_season(rows, store, season)
+    return store.read(schema.TEAM_SEASONS).select("s_suppkey", "season", *schema.TEAM_SEASON_TYPES)
 
 
 # ---- scalars ------------------------------------------------------------------------------
@@ -554,8 +601,7 @@ def recency_split(spark, sf):
 @query
 def quantile_edges(spark, sf):
     flagged = drift.with_recency(fx.history(spark, sf), 30)
-    counts = stage(drift.value_counts(flagged, schema.FEATURES, "recent"), "value-counts")
-    return drift.quantile_edges(counts).select(
+    return drift.quantile_edges(flagged, schema.FEATURES).select(
         "feature", F.col("ref_rows").cast("long").alias("ref_rows"), F.posexplode("edges").alias("position", "edge")
     ).withColumn("edge", F.round("edge", 6))
 
@@ -710,6 +756,22 @@ def model_roundtrip(spark, sf):
     )
 
 
+@query
+def tree_scores(spark, sf):
+    """The saved trees, walked in a column expression, against the model: every test row's probability and every importance."""
+    model, test = model_and_test(spark, sf)
+    path = training.save_model(model, fresh_path(spark, "model"))
+    nodes = stage(trees.tree_table(spark, path), "trees")
+    filled = PipelineModel(model.stages[:-1]).transform(test).withColumn("p_trees", trees.tree_score(nodes, model.stages[-1].getMaxDepth()))
+    both = model.stages[-1].transform(filled)
+    off = F.abs(F.col("p_trees") - vector_to_array("probability")[1]) > 1e-9
+    mine = training.feature_importance(model).withColumnRenamed("importance", "by_model")
+    wrong = trees.tree_importance(nodes).join(mine, "feature").where(F.abs(F.col("importance") - F.col("by_model")) > 1e-9)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(off | F.col("p_trees").isNull()).alias("changed")).withColumn(
+        "importances_off", wrong.agg(F.count(F.lit(1))).scalar()
+    )
+
+
 @query
 def checked_drift(spark, sf):
     """Drift per feature as the health check of a saved and promoted model reports it."""
