@@ -52,7 +52,8 @@ def tables(spark, tmp_path_factory):
     return root
 
 
-def test_game_rows_take_one_shuffle_of_lines(spark, tables):
+def test_game_rows_take_one_shuffle_of_lines(spark, tables, monkeypatch):
+    monkeypatch.setattr(fx, "TASK_LINES", 5)
     # lines by order; the small tables are broadcast
     assert shuffles(spark, fx.team_games(spark, tables)) == 1
     rows = fx.team_games(spark, tables)
