@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bpe, decontaminate, line_dedup, near_copies, quality
+from tipoff.llm import bpe, decontaminate, line_dedup, near_copies, quality, simhash
 from tipoff.llm.common import prepare, read
 from tipoff.llm.queries import TOKENIZER
 from tipoff.scratch import stage
@@ -26,9 +26,10 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: texts that share 0.8 of their five-word shingles."""
+    """One document of each group of near duplicates: texts whose SimHash fingerprints are as near as op7 has it, or that share 0.8
+    of their five-word shingles."""
     prepare(spark)
-    return near_copies.one_of_each(docs)
+    return near_copies.one_of_each(docs, max_bits=simhash.MAX_BITS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

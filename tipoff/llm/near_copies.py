@@ -13,6 +13,9 @@ Up to ``RUN`` nodes of one key are compared pair by pair. In larger ones (a larg
 
 When a round settles little, what is left outside a key's largest component is compared with all other components, but for pairs
 that the same bound rules out, so no pair that shares a key goes unseen. No group is ever held in one place, and a round's tables are removed after the next.
+
+Asked to, it also links texts by the fingerprints of ``simhash``. Those links are there before large keys are looked at, so that
+what they hold together is not compared again.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tipoff.llm.common import components, mix
+from tipoff.llm import simhash
 from tipoff.llm.simhash import shingle_hashes
 from tipoff.scratch import discard, stage
 
@@ -156,8 +160,27 @@ def _hot_links(hot: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
         hot, last, before = both.where("code <> hub").select("key", "code"), count, [rows_left, hubs]
 
 
-def links(prints: DataFrame, documents: DataFrame, text: str) -> DataFrame:
-    """Links (u, v) between codes that join all candidates of similar sets; ``prints``: _a, _b, code, keys."""
+def _fingerprint_links(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Links (u, v) between codes of texts whose fingerprints differ in at most ``max_bits``; ``prints``: code, fp.
+
+    The least code of a fingerprint stands for it.
+    """
+    pairs = stage(prints.select("code", "fp").distinct(), "code-fingerprints")
+    least = stage(pairs.groupBy("fp").agg(F.min("code").alias("least")), "fingerprints")
+    equal = pairs.join(least, "fp").where("code <> least").select(*_pair(F.col("code"), F.col("least")))
+    near = simhash.links(least.select("fp"), max_bits)
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in ("u", "v")]
+    close = near.join(ends[0], "u").join(ends[1], "v").where("least_u <> least_v").select(*_pair(F.col("least_u"), F.col("least_v")))
+    found = stage(equal.unionByName(close), "links")
+    discard(pairs, least)
+    return found
+
+
+def links(prints: DataFrame, documents: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:
+    """Links (u, v) between codes that join all candidates of similar sets; ``prints``: _a, _b, code, keys.
+
+    ``known`` links are among the result.
+    """
     nodes = prints.groupBy("code").agg(F.first("keys").alias("keys"), F.min(F.struct("_a", "_b")).alias("row"))
     spread = stage(nodes.select("code", F.explode("keys").alias("key")), "bands")
     counts = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -171,19 +194,24 @@ def links(prints: DataFrame, documents: DataFrame, text: str) -> DataFrame:
     discard(spread)
     few = shared.where(F.col("n") <= RUN).select("key", "code")
     pairs = few.select("key", F.col("code").alias("u")).join(few.select("key", F.col("code").alias("v")), "key").where("u < v").select("u", "v")
-    found = _hot_links(shared.where(F.col("n") > RUN).select("key", "code"), stage(_verified(pairs, sets), "links"), sets)
+    verified = stage(_verified(pairs, sets), "links")
+    found = _hot_links(shared.where(F.col("n") > RUN).select("key", "code"), verified if known is None else known.unionByName(verified), sets)
     discard(shared, sets)
     return found
 
 
-def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
+def one_of_each(documents: DataFrame, text: str = "text", max_bits: int | None = None) -> DataFrame:
     """``documents`` with one row of each component: the one with the smallest doc_id, null ids last.
 
-    Null, empty and blank texts have the empty set and are one node.
+    Null, empty and blank texts have the empty set and are one node. With ``max_bits`` (up to 5), texts whose SimHash fingerprints differ
+    in at most so many bits are linked too.
     """
     keyed = _keyed(documents, text)
-    prints = stage(keyed.select("doc_id", "_a", "_b", _prints(F.col("text")).alias("p")).select("doc_id", "_a", "_b", "p.code", "p.keys"), "prints")
-    roots = components(links(prints, documents, text))
+    fp = [] if max_bits is None else [simhash.fingerprint(F.col("text")).alias("fp")]
+    made = keyed.select("doc_id", "_a", "_b", _prints(F.col("text")).alias("p"), *fp)
+    prints = stage(made.select("doc_id", "_a", "_b", "p.code", "p.keys", *["fp" for _ in fp]), "prints")
+    known = None if max_bits is None else _fingerprint_links(prints, max_bits)
+    roots = components(links(prints, documents, text, known))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b")
     # one row a code first, so that copies do not cross the join
     firsts = prints.groupBy("code").agg(F.min(order).alias("first"))
