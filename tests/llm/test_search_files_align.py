@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,25 @@ def test_chunks_give_the_ids_of_whole_texts(kind, path, monkeypatch):
         assert got == want
 
 
+def test_new_words_of_a_column_go_to_the_model_together():
+    ours, calls = chunks.Words(WORD_FILE), []
+    joined = ours.joined
+
+    class Counted:
+        def encode_batch_fast(self, forms, add_special_tokens):
+            calls.append(forms)
+            return joined.encode_batch_fast(forms, add_special_tokens=add_special_tokens)
+
+    ours.joined = Counted()
+    texts = [None, "Zorn, plimquax2 isn't\x1chere", "", "Été\xa0öde İx ²3½\x85end", "a\x7f\x00b " * 40, "漢字 “quoted” e\u0301 <|endoftext|>x", "long" * 300, *odd_texts(300)]
+    column = pa.array(["cut off", *texts], pa.string()).slice(1)
+    for _ in range(2):  # the second time all is known
+        ids, ends = ours.encode_column(column)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [ours.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 1 <= len(calls) <= 4  # plain words and others, and those of the chunks that are not kept
+    assert [len(x) for x in ours.encode_column(column.slice(0, 0))] == [0, 1]
+
+
 # -- 11
 
 def test_blocks_decode_from_any_place():

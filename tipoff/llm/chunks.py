@@ -3,31 +3,42 @@
 A text is cut where no token of the tokenizer can reach across, so that the ids of the text are the ids of its chunks in
 order. Ids of chunks are kept in two generations of a dictionary: frequent chunks stay, rare ones are forgotten, and
 memory is bounded by ``KEPT`` chunks a generation of at most ``LONGEST`` characters.
+
+A word tokenizer gets whole columns: Arrow cuts the texts and finds the distinct chunks, Python sees each of these once, and the new
+words of a column's Latin chunks go to the library's model in one call.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from tipoff.llm.bpe import WHITE, byte_letters
 
 KEPT = 500_000
 LONGEST = 200
+PIECE = 1 << 16  # chunks whose ids are put together at once
 # the split of word tokenizers that drop white space; fixed by the tokenizer file
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # both splits for text below U+0250: letters and digits there are the same in every version of Unicode, and nothing composes
 LATIN = "\u0250"
-ASCII_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+").findall
-LATIN_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+").findall
 LATIN_BYTES = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 ).findall
 LETTERS = dict(enumerate(byte_letters()))
+JOINED = {b: c for b, c in LETTERS.items() if b != 32}  # of words with a blank between each two
+CUT = b"\xff\xff\xff\xff"  # no id
+PRINTABLE = re.compile("[ -~]*").fullmatch  # bytes that stand for themselves, and blanks
+BEYOND_LATIN = re.compile(f"[^\x00-{chr(ord(LATIN) - 1)}]").search
 
 
 def letters(word: str) -> str:
@@ -105,10 +116,18 @@ def _library(path: str, special_is_text: bool):
     return t
 
 
+def _latin_words() -> Callable[[str], list[str]]:
+    """The split ``WORDS_ONLY`` for Latin text in lower case, its classes written out and each blank a match of its own."""
+    kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(ord(LATIN)))}
+    letter, number = ("".join(re.escape(c) for c in kinds if kinds[c] == k) for k in "LN")
+    white = "".join(c for c in kinds if regex.match(f"[{WHITE}]", c))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]| |[^{white}{letter}{number}]+").findall
+
+
 class Words(Chunked):
     """A tokenizer file that drops white space; any other file of the library is run over whole texts.
 
-    A Latin chunk without special tokens goes to the library's model by the word, others to the library as they are.
+    The words of Latin chunks without special tokens go to the library's model, other chunks to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -121,20 +140,99 @@ class Words(Chunked):
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_word = splits.get("pattern", {}).get("Regex") == WORDS_ONLY and splits.get("behavior") == "Removed"
         self.marks = {t["content"][0] for t in spec["added_tokens"]}
-        self.between = regex.compile(f"[{WHITE}]+")
-
-    def cut(self, text: str) -> list[str]:
-        if not self.by_word:
-            return [text]
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # blanks for str.split only
-            return [c for c in self.between.split(text) if c]
-        return text.split()
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        if self.by_word:
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self.latin_words = _latin_words()
+            # the same model, for words that are cut and lettered already
+            self.joined = Tokenizer(self.library.model)
+            self.joined.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            # the tokens that end a word, one a word; none if the model marks no ends
+            suffix = spec["model"].get("end_of_word_suffix")
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
 
     def ids_of(self, chunk):
-        if self.by_word and max(chunk) < LATIN and self.marks.isdisjoint(chunk):
-            return self.ids_of_words((ASCII_WORDS if chunk.isascii() else LATIN_WORDS)(chunk.lower()))
         return packed(self.library.encode(chunk, add_special_tokens=False).ids)
 
+    def learn_words(self, words: list[str]) -> None:
+        """Ids of new words, all in one call of the library's model."""
+        form = " ".join(words)
+        if not PRINTABLE(form):
+            form = form.encode().decode("latin-1").translate(JOINED)
+        ids = np.array(self.joined.encode_batch_fast([form], add_special_tokens=False)[0].ids, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(words) or stops[-1] != 4 * len(ids):  # the model lacks a letter, or does not mark ends
+            self.words.update((word, packed([t.id for t in self.merge(letters(word))])) for word in words)
+            return
+        flat, stops = ids.tobytes(), stops.tolist()
+        self.words.update(zip(words, [flat[a:b] for a, b in zip([0, *stops], stops)]))
+
+    def is_latin(self, chunks: str) -> bool:
+        return (chunks.isascii() or not BEYOND_LATIN(chunks)) and not any(mark in chunks for mark in self.marks)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks."""
+        latin = [] if not self.by_word else chunks if self.is_latin(" ".join(chunks)) else [c for c in chunks if self.is_latin(c)]
+        if latin:
+            found = self.latin_words(" ".join(latin).lower())
+            self.words.pop(" ", None)
+            new = set(found).difference(self.words)
+            new.discard(" ")
+            plain = set(filter(str.isascii, new))
+            for words in (plain, new - plain):
+                if words:
+                    self.learn_words(list(words))
+            self.words[" "] = CUT
+            flat = b"".join(map(self.words.__getitem__, found))
+            stops = (4 * np.flatnonzero(np.frombuffer(flat, "<u4") == 0xFFFFFFFF)).tolist()
+            self.known.update(zip(latin, [flat[a:b] for a, b in zip([0, *[x + 4 for x in stops]], [*stops, len(flat)])]))
+            if max(map(len, new), default=0) > LONGEST:
+                self.words = {word: ids for word, ids in self.words.items() if len(word) <= LONGEST}
+            if len(self.words) > self.kept:
+                self.words.clear()
+        if len(latin) < len(chunks):
+            self.known.update((c, self.ids_of(c)) for c in chunks if c not in self.known)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, nulls being empty, as unsigned 32-bit integers, and where each text's begin and end."""
+        column = column.cast(pa.large_string()).fill_null("")
+        if self.by_word:
+            rows = pc.ascii_split_whitespace(column)
+            offsets, flat = rows.offsets.to_numpy(), rows.flatten()
+            offsets = offsets - offsets[0]
+        else:
+            offsets, flat = np.arange(len(column) + 1), column
+        distinct = flat.dictionary_encode()
+        at, chunks = distinct.indices.to_numpy(), distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        each = list(map(self.known.get, chunks))
+        new = [c for c, ids in zip(chunks, each) if ids is None]
+        if new:
+            if self.before:
+                self.known.update((c, self.before[c]) for c in new if c in self.before)
+            self.learn([c for c in new if c not in self.before])
+            each = [self.known[c] if ids is None else ids for c, ids in zip(chunks, each)]
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), "<u4")
+        out = [np.zeros(0, "<u4")]
+        for a in range(0, len(at), PIECE):
+            part = at[a : a + PIECE]
+            n = sizes[part]
+            ends = np.cumsum(n)
+            out.append(ids[np.arange(ends[-1]) + np.repeat(starts[part] - ends + n, n)])
+        for c in new:
+            if len(c) > LONGEST:
+                del self.known[c]
+        if len(self.known) > self.kept:
+            self.before, self.known = self.known, {}
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes[at])])[offsets]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, offsets = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
 
 class Bytes(Chunked):
     """A byte-level tokenizer file, special tokens being plain text: a blank goes with what follows it.

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipoff.llm.chunks import Words, chunked
-from tipoff.llm.common import row_batches, texts
+from tipoff.llm.common import packed, row_batches
 from tipoff.scratch import stage
 
 LANES = 256
@@ -44,8 +44,7 @@ LEAST_FILE, LARGEST_FILE = 1 << 20, 1 << 26
 MAGIC = b"TOKB"
 HEAD = struct.Struct("<4sHHIIIIIIIQII")
 HEAD_SIZE = HEAD.size
-LOW = np.uint64(1 << 31)
-WORD = np.uint64(32)
+LOW = 1 << 31
 
 
 class Table:
@@ -75,27 +74,30 @@ class Table:
 
 
 def pack(ids: np.ndarray, table: Table) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The words of ``ids`` and, by checkpoint, (word offset, states)."""
+    """The words of ``ids`` and, by checkpoint, (word offset, states). States are below 2**63."""
     steps = -(-len(ids) // LANES)
-    freq, start = table.freq[ids], table.start[ids]
-    limit, bits = np.uint64(63 - table.bits), np.uint64(table.bits)
-    states = np.full(LANES, LOW, np.uint64)
+    freq, start = table.freq.view(np.int64)[ids], table.start.view(np.int64)[ids]
+    most, rest = freq.view(np.uint64) << np.uint64(63 - table.bits), (1 << table.bits) - freq
+    states = np.full(LANES, LOW, np.int64)
     words: list[np.ndarray] = []
     marks, written = [], 0
     for step in range(steps - 1, -1, -1):
         a = step * LANES
         f = freq[a : a + LANES]
         x = states[: len(f)]
-        over = x >= f << limit
-        out = x[over]
-        if len(out):
+        over = (x.view(np.uint64) >= most[a : a + LANES]).nonzero()[0]
+        if len(over):
+            out = x[over]
             words.append(out.astype(np.uint32))
             written += len(out)
-            x[over] = out >> WORD
+            x[over] = out >> 32
+        # (q << bits) + (x - q * f) + start
         q = x // f
-        states[: len(f)] = (q << bits) + (x - q * f) + start[a : a + LANES]
+        q *= rest[a : a + LANES]
+        x += q
+        x += start[a : a + LANES]
         if step % CHECKPOINT_STEPS == 0:
-            marks.append((written, states.copy()))
+            marks.append((written, states.astype(np.uint64)))
     flat = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
     return flat, [(written - have, s) for have, s in reversed(marks)]
 
@@ -103,19 +105,22 @@ def pack(ids: np.ndarray, table: Table) -> tuple[np.ndarray, list[tuple[int, np.
 def unpack(words: np.ndarray, states: np.ndarray, n: int, table: Table) -> np.ndarray:
     """``n`` ids from the states at a checkpoint and the words from its offset on."""
     out = np.empty(n, np.uint32)
-    mask, bits = np.uint64((1 << table.bits) - 1), np.uint64(table.bits)
-    states, at = states.copy(), 0
+    mask, bits = (1 << table.bits) - 1, table.bits
+    freq, start = table.freq.view(np.int64), table.start.view(np.int64)
+    states, words, at = states.astype(np.int64), words.astype(np.int64), 0
     for a in range(0, n, LANES):
         x = states[: min(LANES, n - a)]
         slot = x & mask
-        found = table.owner[slot]
+        found = table.owner.take(slot)
         out[a : a + LANES] = found
-        x = table.freq[found] * (x >> bits) + slot - table.start[found]
-        low = np.flatnonzero(x < LOW)
+        slot -= start.take(found)
+        x >>= bits
+        x *= freq.take(found)
+        x += slot
+        low = (x < LOW).nonzero()[0]
         if len(low):
-            x[low] = x[low] << WORD | words[at : at + len(low)]
+            x[low] = x[low] << 32 | words[at : at + len(low)]
             at += len(low)
-        states[: len(x)] = x
     return out
 
 
@@ -201,8 +206,10 @@ def encoded(text: Column, path: str, end_id: int | None = None) -> Column:
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
         out: list[bytes] = []
-        for part in row_batches([pa.RecordBatch.from_arrays([column], ["text"])], text=0):
-            out.extend(np.frombuffer(ids, "<u4").astype(kind).tobytes() + tail for ids in chunked(Words, path).encode(texts(part.column(0))))
+        for part in row_batches([pa.RecordBatch.from_arrays([column], ["text"])], 1 << 22, text=0):
+            ids, ends = chunked(Words, path).encode_column(part.column(0))
+            ids, ends = ids.astype(kind), ends.tolist()
+            out.extend(ids[a:b].tobytes() + tail for a, b in zip(ends, ends[1:]))
         return pa.array(out, pa.binary())
 
     return run(text)
@@ -211,11 +218,10 @@ def encoded(text: Column, path: str, end_id: int | None = None) -> Column:
 def _counts(batches, kind):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in batch.column(0):
-            got = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-            if len(got) > len(total):
-                total, got = got, total
-            total[: len(got)] += got
+        got = np.bincount(packed(batch.column(0))[0].view(kind))
+        if len(got) > len(total):
+            total, got = got, total
+        total[: len(got)] += got
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
