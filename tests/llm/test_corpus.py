@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -82,6 +83,14 @@ def overlaps_by_hand(docs, items):
     return found
 
 
+def test_hits_of_a_batch_go_out_in_small_pieces():
+    words = " ".join(f"w{i}" for i in range(9_000))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([7, 8], pa.int64()), "text": pa.array([words, words])})
+    everything = np.full(1 << 13, 255, np.uint8)
+    sizes = [b.num_rows for b in decontaminate._document_hits([batch], everything)]
+    assert sum(sizes) == 2 * sum(9_000 - mask[-1] for mask in decontaminate.MASKS) and max(sizes) <= 5_000
+
+
 def test_decontamination(spark):
     prepare(spark)
     rng = random.Random(3)

@@ -32,6 +32,7 @@ SPAN = 8
 AROUND = WINDOW - 1
 CONTEXT = SPAN + 2 * AROUND
 BLOOM_BITS = 1 << 27
+HITS = 4_000
 
 
 def _token_bytes() -> np.ndarray:
@@ -115,9 +116,9 @@ def _document_hits(batches, bloom: np.ndarray):
             place = _bit(keys, bits)[k]
             keep = (bloom[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             at, keys = at[keep], keys[keep]
-        # a hit has a context of 32 numbers; many hits go out in pieces
-        for a in range(0, len(at), 50_000):
-            part, key = at[a : a + 50_000], keys[a : a + 50_000]
+        # a hit has a context of 32 numbers, a megabyte of text many hits; they go out in pieces
+        for a in range(0, len(at), HITS):
+            part, key = at[a : a + HITS], keys[a : a + HITS]
             yield _emit(batch.column(0).take(pa.array(rows[part])), key, _contexts(hashes, rows, part, -1))
 
 
@@ -151,14 +152,13 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, text: str = "text") ->
     hits = documents.select(F.col("doc_id").cast("long").alias("id"), F.col(text)).mapInArrow(
         lambda batches: _document_hits(batches, bloom.value), "id long, key long, context array<int>"
     )
-    same = F.expr("zip_with(d.context, b.context, (x, y) -> if(x = y, 1, 0))")
-    # running counts of equal tokens; a window's count is a difference of two of them
-    sums = F.aggregate(same, F.expr("array(0)"), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    # equal tokens as the bits of one number; a window's count is that of a run of bits, whichever end they are read from
+    same = F.expr("aggregate(zip_with(d.context, b.context, (x, y) -> if(x = y, 1L, 0L)), 0L, (bits, x) -> 2 * bits + x)")
     allowed = F.when(F.col("b.window") == WINDOW, SUBSTITUTIONS).otherwise(1)
     verified = (
         hits.alias("d").join(table.alias("b"), F.col("d.key") == F.col("b.key"))
-        .select(F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), F.col("b.window").alias("w"), allowed.alias("allowed"), sums.alias("sums"))
-        .where(F.expr(f"exists(sequence(0, {CONTEXT} - w), i -> sums[i + w] - sums[i] >= w - allowed)"))
+        .select(F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), F.col("b.window").alias("w"), allowed.alias("allowed"), same.alias("same"))
+        .where(F.expr(f"exists(sequence(0, {CONTEXT} - w), i -> bit_count(shiftright(same, i) & (shiftleft(1L, w) - 1)) >= w - allowed)"))
     )
     return verified.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
 
